@@ -19,7 +19,7 @@ from codeloom.schema import (
     PAGERANK_STOP_DELTA,
     PAGERANK_WARN_DELTA,
 )
-from codeloom.session import materialize
+from codeloom.session import materialize, written
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -104,7 +104,6 @@ def pagerank(
     *,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
-    checkpoint_every: int = 10,
 ) -> DataFrame:
     """(id, centrality, in_degree): weighted PageRank divided by its maximum.
 
@@ -123,7 +122,7 @@ def pagerank(
         into.join(ids.withColumnRenamed("id", "source_id"), "source_id")
         .groupBy("source_id", "target_id").agg(F.sum(edge_weight(F.col("kind"))).alias("w"))
     )
-    valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
+    valid = written(valid, "edge-weights")
     totals = valid.groupBy("source_id").agg(F.sum("w").alias("total"))
     state = (
         ids.join(totals.withColumnRenamed("source_id", "id"), "id", "left")
@@ -133,7 +132,6 @@ def pagerank(
     state, info = materialize(state, sinks=F.count_if("sink"))
     n = info["rows"]
     if n == 0:
-        valid.unpersist()
         return state.select("id", F.lit(0.0).alias("centrality"), "in_degree")
     small = n <= broadcast_rows
     shares = valid.join(totals, "source_id").select(
@@ -141,60 +139,54 @@ def pagerank(
     )
     hot = None
     if not small:
-        heavy = hot_keys(shares, ["source_id"], hot_rows)
-        marked, found = materialize(heavy)
+        marked, found = materialize(hot_keys(shares, ["source_id"], hot_rows))
         if found["rows"]:
-            hot = shares.join(F.broadcast(marked), "source_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+            hot = written(shares.join(F.broadcast(marked), "source_id", "left_semi"), "hot-edge-shares")
             shares = shares.join(F.broadcast(marked), "source_id", "left_anti")
-        shares = shares.repartition("source_id")
-    shares = shares.persist(StorageLevel.MEMORY_AND_DISK)
+    shares = written(shares, "edge-shares")
+    in_memory = [frame.persist(StorageLevel.MEMORY_AND_DISK) for frame in (shares, hot) if frame is not None]
 
+    spark = nodes.sparkSession
+    step = _round_sql(small, hot is not None)
     ranks = state.select("id", "sink", F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("prev"))
     sunk = info["sinks"] / n
-    delta = None
-    kept = None
-    for turn in range(1, rounds + 1):
-        sent = ranks.select(F.col("id").alias("source_id"), "rank")
-        flow = shares.join(F.broadcast(sent) if small else sent, "source_id")
-        if hot is not None:
-            few = sent.join(F.broadcast(marked), "source_id", "left_semi")
-            flow = flow.unionByName(hot.join(F.broadcast(few), "source_id"))
-        messages = flow.select(F.col("target_id").alias("id"), (F.col("rank") * F.col("share")).alias("got"),
-                               F.lit(None).cast("double").alias("prev"), F.lit(None).cast("boolean").alias("sink"))
-        own = ranks.select("id", F.lit(0.0).alias("got"), F.col("rank").alias("prev"), "sink")
+    delta, top = None, 1.0 / n
+    for _ in range(rounds):
         base = (1.0 - PAGERANK_DAMPING) / n + PAGERANK_DAMPING * sunk / n
-        ranks = messages.unionByName(own).groupBy("id").agg(
-            (F.sum("got") + F.lit(base)).alias("rank"), F.max("prev").alias("prev"), F.max("sink").alias("sink")
-        )
-        if turn % checkpoint_every == 0:
-            ranks, _ = materialize(ranks)
-            fresh = None
-        else:
-            ranks = ranks.persist(StorageLevel.MEMORY_AND_DISK)
-            fresh = ranks
-        sums = ranks.agg(
-            F.sum(F.when(F.col("sink"), F.col("rank"))).alias("sunk"),
-            F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("delta"),
-        ).first()
-        if kept is not None:
-            kept.unpersist()
-        kept = fresh
-        sunk, delta = sums["sunk"] or 0.0, sums["delta"]
+        tables = {"ranks": ranks, "shares": shares} | ({"hot": hot, "marked": marked} if hot is not None else {})
+        # The ranks are used twice in the next round, so each round ends in a table of its own.
+        ranks, sums = materialize(
+            spark.sql(step, args={"base": base}, **tables),
+            sunk=F.expr("sum(CASE WHEN sink THEN rank END)"), top=F.expr("max(rank)"),
+            delta=F.expr("sum(abs(rank - prev))"))
+        sunk, delta, top = sums["sunk"] or 0.0, sums["delta"], sums["top"]
         if delta < PAGERANK_STOP_DELTA:
             break
     if delta is not None and delta > PAGERANK_WARN_DELTA:
         warnings.warn(f"PageRank stopped after {rounds} rounds with a delta of {delta:.3g}", stacklevel=2)
-    top = ranks.agg(F.max("rank")).first()[0]
     out, _ = materialize(
         state.join(ranks.select("id", "rank"), "id")
         .select("id", (F.col("rank") / F.lit(top)).alias("centrality"), "in_degree")
     )
-    for frame in (kept, shares, hot, valid):
-        if frame is not None:
-            frame.unpersist()
+    for frame in in_memory:
+        frame.unpersist()
     return out
 
 
+def _round_sql(small: bool, has_hot: bool) -> str:
+    """One round as SQL: each node's rank along its edges, summed by target."""
+    ways = [f"""SELECT {'/*+ BROADCAST(r) */' if small else ''} s.target_id AS id, r.rank * s.share AS got,
+                CAST(NULL AS DOUBLE) AS prev, CAST(NULL AS BOOLEAN) AS sink
+                FROM {{shares}} s JOIN {{ranks}} r ON r.id = s.source_id"""]
+    if has_hot:
+        ways.append("""SELECT /*+ BROADCAST(r) */ s.target_id, r.rank * s.share, NULL, NULL FROM {hot} s JOIN
+                       (SELECT /*+ BROADCAST(m) */ q.id, q.rank FROM {ranks} q JOIN {marked} m ON m.source_id = q.id) r
+                       ON r.id = s.source_id""")
+    ways.append("SELECT id, 0.0D, rank, sink FROM {ranks}")
+    return f"""SELECT id, sum(got) + :base AS rank, max(prev) AS prev, max(sink) AS sink
+               FROM ({' UNION ALL '.join(ways)}) GROUP BY id"""
+
+
 def context_summary(
     nodes: DataFrame,
     ranks: DataFrame,

@@ -1,7 +1,9 @@
 """All registered queries."""
 
 from codeloom.plans import (  # noqa: F401
+    change_queries,
     lookup_queries,
+    rank_queries,
     walk_queries,
 )
 from codeloom.plans.registry import QUERIES, SQL  # noqa: F401

@@ -29,15 +29,13 @@ def nodes_by_file(spark, sf_dir):
     return lookup.find_nodes(graph_nodes(spark, sf_dir), file_path="catalog/Brand#2/ECONOMY", name="small ring")
 
 
-@query("resolve_name", with_nodes("""
-SELECT requested, id, kind, name, qualified_name, file_path FROM (
-  SELECT requested, n.*, row_number() OVER (PARTITION BY requested ORDER BY by_name, id) AS rn FROM (
-    SELECT r.requested, n.id, 0 AS by_name FROM (VALUES ('small ring'), ('part::5'), ('2-HIGH'), ('absent')) r(requested)
-    JOIN nodes n ON n.qualified_name = r.requested
-    UNION ALL
-    SELECT r.requested, n.id, 1 FROM (VALUES ('small ring'), ('part::5'), ('2-HIGH'), ('absent')) r(requested)
-    JOIN nodes n ON n.name = r.requested) m JOIN nodes n ON n.id = m.id)
-WHERE rn = 1"""))
+@query("resolve_name", with_nodes(""", asked(requested) AS (VALUES ('small ring'), ('part::5'), ('2-HIGH'), ('absent')),
+hits AS (
+  SELECT a.requested, 0 AS by_name, n.* FROM asked a JOIN nodes n ON n.qualified_name = a.requested
+  UNION ALL
+  SELECT a.requested, 1, n.* FROM asked a JOIN nodes n ON n.name = a.requested)
+SELECT requested, id, kind, name, qualified_name, file_path FROM hits
+QUALIFY row_number() OVER (PARTITION BY requested ORDER BY by_name, id) = 1"""))
 def resolve_name(spark, sf_dir):
     return lookup.resolve_names(graph_nodes(spark, sf_dir), ["small ring", "part::5", "2-HIGH", "absent"])
 

@@ -28,10 +28,10 @@ def local_session(cores: int | str = 8, app: str = "codeloom") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder named by the cluster; one of our own only where none is set."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is not None:
-        return named or current
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
         if sc.master.startswith("local"):
             named = tempfile.mkdtemp(prefix="codeloom-checkpoints-")
@@ -57,3 +57,11 @@ def materialize(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     columns = [F.count(F.lit(1)).alias("rows")] + [c.alias(n) for n, c in metrics.items()]
     done = df.observe(seen, *columns).checkpoint(eager=True)
     return done, seen.get
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for frames that are read many times: a short plan,
+    columnar scans, and nothing to recompute when an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
