@@ -4,6 +4,7 @@ from codeloom.plans import (  # noqa: F401
     change_queries,
     lookup_queries,
     rank_queries,
+    search_queries,
     walk_queries,
 )
 from codeloom.plans.registry import QUERIES, SQL  # noqa: F401
