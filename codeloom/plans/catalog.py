@@ -2,6 +2,7 @@
 
 from codeloom.plans import (  # noqa: F401
     change_queries,
+    code_queries,
     lookup_queries,
     rank_queries,
     search_queries,
