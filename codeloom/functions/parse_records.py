@@ -23,13 +23,13 @@ SCHEMA = pa.schema([
 ])
 
 
-def records_of(path: str, content: str, language: str) -> list[dict]:
+def records_of(path: str, content: str, language: str, content_hash: str) -> list[dict]:
     """The records of one text: the file itself, then its definitions, imports and calls, or an error."""
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
     base = {"file_path": path, "language": language}
-    rows = [base | {"record": "file", "pos": 0, "content_hash": sha(content)}]
+    rows = [base | {"record": "file", "pos": 0, "content_hash": content_hash}]
     try:
         definitions, imports, calls = (parse_python if language == "python" else parse_tsjs)(content)
     except Exception as exc:  # noqa: BLE001 - one bad text must not stop the others
@@ -52,7 +52,7 @@ def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = []
         for file in batch.to_pylist():
-            rows += records_of(file["file_path"], file["content"], file["language"])
+            rows += records_of(file["file_path"], file["content"], file["language"], file["content_hash"])
             if len(rows) >= 10_000:
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                 rows = []

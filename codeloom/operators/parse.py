@@ -23,9 +23,11 @@ def language_of(file_path: Column) -> Column:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Parse records of ``files(file_path, content)``. Each text is parsed by itself, wherever it lies; a text that
+    """Parse records of ``files(file_path, content[, content_hash])``. Each text is parsed by itself, wherever it lies; a text that
     cannot be parsed gives a record ``error`` and the others go on. A file has one record ``file``."""
-    known = files.select("file_path", "content", language_of(F.col("file_path")).alias("language"))
+    digest = F.col("content_hash") if "content_hash" in files.columns else F.sha2("content", 256)
+    known = files.select("file_path", "content", language_of(F.col("file_path")).alias("language"),
+                         digest.alias("content_hash"))
     return known.where(F.col("language").isNotNull()).mapInArrow(parse_batches, RECORDS)
 
 

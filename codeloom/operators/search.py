@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -244,25 +246,22 @@ def _places(p: Phrase) -> Column:
     return places
 
 
+def _starts_clump(first: Phrase, others: list[Phrase], number: dict[int, str], distance: int) -> Column:
+    def follows(a: Column, other: Phrase) -> Column:
+        return F.exists(number[id(other)], lambda b: (a["col"] == b["col"]) & (b["pos"] >= a["pos"]) & (
+            b["pos"] - a["pos"] - len(first.words) <= distance))
+
+    return F.exists(number[id(first)], lambda a: reduce(and_, [follows(a, o) for o in others], F.lit(True)))
+
+
 def _holds(query, number: dict[int, str]) -> Column:
     """Whether a node matches, from its columns of phrase places."""
     if isinstance(query, Phrase):
         return F.size(number[id(query)]) > 0 if query.words else F.lit(False)
     if query.op == "near":
-        first, *others = [number[id(p)] for p in query.parts]
-        # Some place of the first phrase from which every other phrase is near enough.
-        spans = {number[id(p)]: len(p.words) for p in query.parts}
-
-        def close(a: Column) -> Column:
-            cond = F.lit(True)
-            for other in others:
-                def near_to(b: Column, other=other) -> Column:
-                    gap = F.when(b["pos"] >= a["pos"], b["pos"] - a["pos"] - spans[first]).otherwise(
-                        a["pos"] - b["pos"] - spans[other])
-                    return (a["col"] == b["col"]) & (gap <= query.distance)
-                cond = cond & F.exists(F.col(other), near_to)
-            return cond
-        return F.exists(F.col(first), close)
+        # One of the phrases comes first, and all others start within the distance after its end.
+        clumps = [_starts_clump(p, [q for q in query.parts if q is not p], number, query.distance) for p in query.parts]
+        return reduce(or_, clumps)
     parts = [_holds(p, number) for p in query.parts]
     if query.op == "not":
         return parts[0] & ~parts[1]
