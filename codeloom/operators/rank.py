@@ -84,8 +84,10 @@ def rank_by_transitive(
     else:
         chosen = rank_by_in_degree(nodes, edges, limit=candidates)
     chosen, _ = materialize(chosen)
-    counts = dependent_counts(edges, chosen.select(F.col("id").alias("seed_id")))
-    scored = chosen.join(F.broadcast(counts), chosen["id"] == counts["seed_id"]).drop("seed_id")
+    # At most ``candidates`` ids.
+    counts = dependent_counts(edges, [r["id"] for r in chosen.select("id").collect()])
+    numbers = nodes.sparkSession.createDataFrame(list(counts.items()), "id BIGINT, transitive_count BIGINT")
+    scored = chosen.join(F.broadcast(numbers), "id")
     return scored.orderBy(F.desc("transitive_count"), "qualified_name").limit(limit)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.joins import BROADCAST_ROWS, HOT_ROWS, salted_join
-from codeloom.session import materialize
+from codeloom.session import materialize, written
 
 
 def links(edges: DataFrame, edge_kinds: Sequence[str] | None = None, reverse: bool = False) -> DataFrame:
@@ -105,8 +105,33 @@ def _walk(nodes, edges, qualified_name, edge_kinds, max_depth, reverse):
     return closure_nodes(nodes, reached.drop("seed_id"))
 
 
-def dependent_counts(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(seed_id, transitive_count): rows of the reverse closure per seed, 0 where none."""
-    reached = closure(edges, seeds, max_depth, reverse=True)
-    counts = reached.groupBy("seed_id").agg(F.count(F.lit(1)).alias("transitive_count"))
-    return seeds.select("seed_id").distinct().join(counts, "seed_id", "left").fillna(0, ["transitive_count"])
+def dependent_counts(
+    edges: DataFrame, seeds: Sequence[int], max_depth: int = 10,
+    *, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
+) -> dict[int, int]:
+    """Rows of the reverse closure of each of a few seeds: pairs (node, depth).
+
+    All seeds walk together: a node carries one bit per seed that has reached it at this depth, so the cost of a
+    level does not grow with the number of seeds. The bits are summed while a level is written.
+    """
+    counts = dict.fromkeys(seeds, 0)
+    numbered = list(counts)
+    step_edges = written(links(edges, reverse=True), "links")
+    for start in range(0, len(numbered), 62):
+        block = numbered[start:start + 62]
+        frontier = edges.sparkSession.createDataFrame([(s, 1 << i) for i, s in enumerate(block)], "here BIGINT, seen BIGINT")
+        rows = len(block)
+        for _ in range(max_depth):
+            if rows <= broadcast_rows:
+                reached = step_edges.join(F.broadcast(frontier), "here")
+            else:
+                reached = salted_join(step_edges, frontier, ["here"], hot_rows=hot_rows)
+            reached = reached.groupBy(F.col("there").alias("here")).agg(F.bit_or("seen").alias("seen"))
+            bits = {f"s{i}": F.sum(F.getbit("seen", F.lit(i)).cast("long")) for i in range(len(block))}
+            frontier, info = materialize(reached, **bits)
+            rows = info["rows"]
+            if rows == 0:
+                break
+            for i, s in enumerate(block):
+                counts[s] += info[f"s{i}"] or 0
+    return counts

@@ -49,3 +49,15 @@ def test_random_graph_against_recursive_union(spark, broadcast_rows):
     got = traverse.closure(edges, spark.createDataFrame([(s,) for s in seeds], "seed_id BIGINT"), 6, reverse=True,
                            broadcast_rows=broadcast_rows, hot_rows=5).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_counts_of_many_seeds_equal_the_closure(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(90), rng.randrange(90), "calls") for _ in range(200)]
+    edges = spark.createDataFrame(rows, "source_id BIGINT, target_id BIGINT, kind STRING")
+    seeds = list(range(70))
+    frame = spark.createDataFrame([(s,) for s in seeds], "seed_id BIGINT")
+    want = {s: 0 for s in seeds} | {r["seed_id"]: r["count"] for r in traverse.closure(
+        edges, frame, 4, reverse=True).groupBy("seed_id").count().collect()}
+    assert traverse.dependent_counts(edges, seeds, 4) == want
+    assert traverse.dependent_counts(edges, seeds[:5], 4, broadcast_rows=0, hot_rows=3) == {s: want[s] for s in seeds[:5]}
