@@ -145,6 +145,9 @@ def pagerank(
         if found["rows"]:
             hot = written(shares.join(F.broadcast(marked), "source_id", "left_semi"), "hot-edge-shares")
             shares = shares.join(F.broadcast(marked), "source_id", "left_anti")
+    else:
+        # Edges of one target lie together, so that a round sends about one partial sum per node.
+        shares = shares.repartitionByRange("target_id", "source_id")
     shares = written(shares, "edge-shares")
     in_memory = [frame.persist(StorageLevel.MEMORY_AND_DISK) for frame in (shares, hot) if frame is not None]
 
