@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Rows of one key above which its rows are spread over several tasks. The number of such
 # keys is at most (rows / HOT_ROWS), so the list of them is always small enough to broadcast.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 5_000_000
 SALTS = 32
 # Row count up to which a checked side of a few narrow columns is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -77,3 +77,10 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
         .select(*key, *[F.col("_row")[c].alias(c) for c in rest])
         .select(*df.columns)
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work on texts that costs far more than
+    the shuffle of a small input. An input that already has that many is left where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

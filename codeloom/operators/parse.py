@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.parse_records import parse_batches
+from codeloom.operators.joins import spread
 from codeloom.schema import LANGUAGES
 
 RECORDS = (
@@ -22,13 +23,6 @@ def language_of(file_path: Column) -> Column:
     return F.element_at(table, suffix)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, as parsing costs far more than a shuffle of a small
-    input. An input that already has that many is left where it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
-
-
 def parse_files(files: DataFrame) -> DataFrame:
     """Parse records of ``files(file_path, content[, content_hash])``. Each text is parsed by itself, wherever it lies; a text that
     cannot be parsed gives a record ``error`` and the others go on. A file has one record ``file``."""

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.porter import stem, stem_tokens
 from codeloom.functions.text import _accents, tokens
+from codeloom.operators.joins import spread
 from codeloom.session import shared_dir
 
 TEXT_COLUMNS = ["name", "qualified_name", "summary"]
@@ -38,7 +39,7 @@ def node_words(nodes: DataFrame, columns: list[str] | None = None, stemmed: bool
         return stem_tokens(tokens(F.col(c))) if stemmed else tokens(F.col(c))
 
     split = [F.struct(F.lit(c).alias("col"), words(c).alias("words")) for c in columns]
-    return nodes.select("id", F.array(*split).alias("words"))
+    return spread(nodes.select("id", *columns)).select("id", F.array(*split).alias("words"))
 
 
 def index_texts(nodes: DataFrame, columns: list[str] | None = None, stemmed: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.operators.parse import spread
+from codeloom.operators.joins import spread
 from codeloom.plans.graph_view import table
 from codeloom.plans.registry import query
 from codeloom.sources import plandocs
