@@ -78,10 +78,8 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
               .select("root", "branch", F.col("id").alias("leaf")))
     on_path = chosen.select("leaf", F.col("leaf").alias("id"), F.lit(0).alias("above"))
     for k, jump in enumerate(jumps):
-        further = on_path.join(jump, "id").select("leaf", F.col("up").alias("id"), (F.col("above") + 2 ** k).alias("above"))
-        on_path = on_path.unionByName(further)
-        if k % 3 == 2:
-            on_path, _ = materialize(on_path)
+        both = F.array(F.struct("id", "above"), F.struct(F.col("up").alias("id"), (F.col("above") + 2 ** k).alias("above")))
+        on_path = on_path.join(jump, "id", "left").select("leaf", F.inline(both)).where("id is not null")
     told = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("place"), "role", "text")))
     whole = on_path.join(told, "id").groupBy("leaf").agg(
