@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, for Java's, RE2's and Python's expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +18,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def widened(df: DataFrame, more: str) -> T.StructType:
+    """The schema of ``df`` with further columns, all nullable."""
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    return T.StructType(fields + T.StructType.fromDDL(more).fields)
+
+
 def word_count(text: Column) -> Column:
     """The number of words of a text as long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(f"({WORD})")), F.lit(0)).cast("long")
@@ -41,3 +48,12 @@ def by_text(batch, column: str, most_bytes: int):
         stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a folder that executors share, for files in formats of our own."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)

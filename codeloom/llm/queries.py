@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, mixing
+from codeloom.llm import bpe, chat, mixing, rans, weaklabel
+from codeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ def op6_chat(spark, sf_dir):
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                     F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    messages = chat.linear(rows)
+    messages = written(chat.linear(rows), "chat-messages")
     done = chat.formatted(chat.paths(messages))
     conv_id = F.split("root", ":")[0]
     told = done.withColumn("turns", chat.read_turns(F.col("text"))).withColumn(
@@ -52,3 +53,29 @@ def op6_chat(spark, sf_dir):
 
 
 SQL["op6_chat"] = chat.SQL
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_bpe(spark, sf_dir):
+    """Digests of the ids of every text, and of the text that the ids decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op7_rans(spark, sf_dir):
+    """Every text's ids written as entropy-coded files, and where each document lies and its checksum, read back from them."""
+    files = rans.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+    return rans.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Every document with its weak label, its score and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    return weaklabel.scored(docs, weaklabel.fit(docs)).select("doc_id", "score", "keep")
