@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, mixing, rans, weaklabel
+from codeloom.llm import bpe, chat, mixing, rans, warc, weaklabel
 from codeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,13 @@ def op10_quality(spark, sf_dir):
     """Every document with its weak label, its score and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
     return weaklabel.scored(docs, weaklabel.fit(docs)).select("doc_id", "score", "keep")
+
+
+@query
+def op1_warc(spark, sf_dir):
+    """Every page as a WARC record, written as monolithic archives, normalised, and read back by the offset index."""
+    folder = warc.write_monolithic(table(spark, sf_dir, "pages"))
+    return warc.read(warc.normalise(spark, folder))
+
+
+SQL["op1_warc"] = warc.SQL

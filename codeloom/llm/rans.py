@@ -137,7 +137,7 @@ def write(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         # a name for every attempt: only the files of attempts that succeed are in the list
         name = f"part-{part:06d}-{uuid.uuid4().hex}.ans"
         doc_ids, lengths, groups, waiting, held, total = [], [], [], [], 0, 0
-        with system.open_output_stream(f"{local}/{name}") as out:
+        with system.open_output_stream(f"{local}/{name}", compression=None) as out:
             out.write(MAGIC)
             size = len(MAGIC)
 

@@ -138,8 +138,8 @@ def normalise(spark, folder: str) -> DataFrame:
                 name = f"{path.rsplit('/', 1)[-1].split('.')[0]}-{uuid.uuid4().hex}.warc.gz"
                 rows, at = [], 0
                 in_system, in_local = file_system(path)
-                with in_system.open_input_file(in_local) as source, out_system.open_output_stream(f"{out_local}/{name}") as out, \
-                        out_system.open_output_stream(f"{out_local}/{name}.idx") as sidecar:
+                with in_system.open_input_file(in_local) as source, out_system.open_output_stream(f"{out_local}/{name}", compression=None) as out, \
+                        out_system.open_output_stream(f"{out_local}/{name}.idx", compression=None) as sidecar:
                     for header, rest in split_records(inflated(source)):
                         raw = member(header + rest)
                         out.write(raw)
