@@ -14,11 +14,12 @@ columns are ignored. One conversation is one string, as the feature asks for.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize
+from codeloom.session import materialize, written
 
 
 def escape(text: Column) -> Column:
@@ -50,18 +51,22 @@ def ancestors(tree: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     linked = tree.join(here.withColumnRenamed("id", "parent").withColumn("found", F.lit(True)), "parent", "left").select(
         "id", F.when(F.col("found"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.col("id").alias("far"))
     # far: the highest ancestor counted into total; up: the one above it
-    state, seen = materialize(linked, open=F.sum(F.col("up").isNotNull().cast("long")))
+    count_open = {"open": F.sum(F.col("up").isNotNull().cast("long"))}
+    state, seen = materialize(linked, **count_open)
     parents = state.select("id", F.col("up").alias("parent"))
-    jumps, steps = [], math.ceil(math.log2(max(seen["rows"], 2))) + 1
-    while (seen["open"] or 0) and len(jumps) < steps:
-        jumps.append(state.where("up is not null").select("id", "up"))
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"),
-                             F.col("far").alias("further"))
-        state, seen = materialize(state.join(above, "up", "left").select(
-            "id", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            F.coalesce("further", "far").alias("far")), open=F.sum(F.col("up").isNotNull().cast("long")))
-    reached = state.where("up is null").select("id", F.col("far").alias("root"), "total")
-    return reached.join(parents, "id"), jumps
+    done, jumps, steps = [], [], math.ceil(math.log2(max(seen["rows"], 2))) + 1
+    while seen.get("open") and len(jumps) < steps:
+        # only messages that have not reached their root go on; what they meet may have
+        going = state.where("up is not null")
+        done.append(state.where("up is null"))
+        jumps.append(going.select("id", "up"))
+        above = reduce(DataFrame.unionByName, [going, *done]).select(
+            F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("far").alias("further"))
+        state, seen = materialize(going.join(above, "up").select(
+            "id", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), F.col("further").alias("far")),
+            **count_open)
+    reached = reduce(DataFrame.unionByName, [*done, state.where("up is null")])
+    return reached.select("id", F.col("far").alias("root"), "total").join(parents, "id"), jumps
 
 
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -74,12 +79,14 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     reached, jumps = ancestors(tree)
     leaves = reached.join(reached.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti")
     best = Window.partitionBy("root").orderBy(F.desc("total"), "id")
-    chosen = (leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= top)
-              .select("root", "branch", F.col("id").alias("leaf")))
+    chosen = written(leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= top)
+                     .select("root", "branch", F.col("id").alias("leaf")), "chat-chosen")
+    # after k jumps all messages less than 2 ** k above a leaf are there; the next jump adds as many again, where there are any
     on_path = chosen.select("leaf", F.col("leaf").alias("id"), F.lit(0).alias("above"))
     for k, jump in enumerate(jumps):
-        both = F.array(F.struct("id", "above"), F.struct(F.col("up").alias("id"), (F.col("above") + 2 ** k).alias("above")))
-        on_path = on_path.join(jump, "id", "left").select("leaf", F.inline(both)).where("id is not null")
+        further = written(on_path.join(jump, "id").select(
+            "leaf", F.col("up").alias("id"), (F.col("above") + 2 ** k).alias("above")), "chat-path")
+        on_path = on_path.unionByName(further)
     told = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("place"), "role", "text")))
     whole = on_path.join(told, "id").groupBy("leaf").agg(
