@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, mixing, rans, warc, weaklabel
+from codeloom.llm import ann, bpe, chat, egojoin, mixing, rans, warc, weaklabel
 from codeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,19 @@ def op1_warc(spark, sf_dir):
 
 
 SQL["op1_warc"] = warc.SQL
+
+
+@query
+def op3_ann(spark, sf_dir):
+    """The 20 nearest vectors, by inner product, of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op4_ego_join(spark, sf_dir):
+    """Links, component and kept vector of every vector, by cosine within its label."""
+    return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op4_ego_join"] = egojoin.SQL
