@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, QUERIES = 8192, 16384
-PROJECTIONS, ENOUGH = 40, 24
+PROJECTIONS, ENOUGH = 40, 25
 #: Growth of the radius from round to round, and rounds before the window over everything.
 GROWTH, ROUNDS = 1.12, 8
 
@@ -53,12 +53,12 @@ class Index:
         n, dims = vectors.shape
         squares = (vectors ** 2).sum(axis=1)
         self.length = np.sqrt(squares.max())
-        self.lifted = np.column_stack([vectors, np.sqrt(np.maximum(self.length ** 2 - squares, 0))])
+        lifted = np.column_stack([vectors, np.sqrt(np.maximum(self.length ** 2 - squares, 0))])
         self.lines = np.random.default_rng(dims).standard_normal((dims + 1, PROJECTIONS))
-        projected = self.lifted @ self.lines
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.sort(projected, axis=0).T
-        self.some = self.lifted[:: max(1, n // 256)]
+        projected = lifted @ self.lines
+        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
+        self.sorted = np.sort(projected, axis=0).T.copy()
+        self.some = lifted[:: max(1, n // 256)]
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """For each query, (places of its k nearest, their products), nearest first."""
@@ -94,7 +94,7 @@ class Index:
                 if len(fresh):
                     waiting[fresh] = False
                     places = np.concatenate([places, fresh])
-                    gaps = np.concatenate([gaps, ((self.lifted[fresh] - aimed[q]) ** 2).sum(axis=1)])
+                    gaps = np.concatenate([gaps, 2 * self.length ** 2 - 2 * (self.vectors[fresh] @ aimed[q, :-1])])
                 if r < ROUNDS and len(gaps) >= k and np.partition(gaps, k - 1)[k - 1] <= radius[q, r] ** 2:
                     break
             if len(gaps) > k:  # the order is decided by the products below
