@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloom.llm.common import by_text, fresh, widened
-from codeloom.llm.tokens import ChunkIds
+from codeloom.llm.tokens import ChunkIds, gathered
 
 MOST_BYTES = 2 << 20
 NONE = np.int64(1) << 40
@@ -58,24 +58,17 @@ class MergeIds(ChunkIds):
         for token, i in (vocab | self.special_ids).items():
             self.tokens[i] = token
 
-    def pieces(self, chunk: str) -> list[bytes]:
-        """The bytes of the words that a chunk is split into."""
-        if chunk.isalpha() and chunk.isascii():
-            return [chunk.encode()]
-        # the pieces come in the letters that stand for their bytes, one for each byte
-        raw, at, found = chunk.encode(), 0, []
-        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk):
-            found.append(raw[at:at + len(piece)])
-            at += len(piece)
-        return found
-
     def ids_of_chunks(self, chunks):
         pieces = [self.pieces(c) for c in chunks]
-        words = [w for p in pieces for w in p]
-        flat, lengths = self.merge(words)
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        return flat, np.diff(bounds)
+        words: dict[bytes, int] = {}
+        which = np.array([words.setdefault(w, len(words)) for p in pieces for w in p], np.int64)
+        return gathered(list(map(len, pieces)), *self.merge(list(words)), which)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or NONE, merged symbol) of pairs, by binary search."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], NONE), self.made[at]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per word) of words given as their bytes."""
@@ -85,36 +78,42 @@ class MergeIds(ChunkIds):
         ends = np.cumsum(sizes)
         symbols[ends[sizes > 0] - 1] = self.last[raw[ends[sizes > 0] - 1]]
         owner = np.repeat(np.arange(len(words)), sizes)
+        # rank and product of each symbol with the next one of its word
+        rank, made = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner], made[inner] = self._ranks(symbols[inner], symbols[inner + 1])
         done_symbols, done_owner = [], []
         while len(symbols):
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            word = np.cumsum(np.concatenate([[True], owner[1:] != owner[:-1]])) - 1
-            pair = symbols << 32
-            pair[:-1] |= symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            inside = np.concatenate([owner[1:] == owner[:-1], [False]])
-            known = inside & (self.keys[at] == pair)
-            rank = np.where(known, self.ranks[at], NONE)
-            lowest = np.minimum.reduceat(rank, first)
-            live = lowest[word] < NONE
+            begins = np.concatenate([[True], owner[1:] != owner[:-1]])
+            word = np.cumsum(begins) - 1
+            lowest = np.minimum.reduceat(rank, np.flatnonzero(begins))[word]
+            live = lowest < NONE
             if not live.all():
                 done_symbols.append(symbols[~live])
                 done_owner.append(owner[~live])
-            hit = live & (rank == lowest[word])
-            merged = self.made[at]
-            # of overlapping pairs (a symbol repeated), every other one from the left
-            place = np.flatnonzero(hit)
+            place = np.flatnonzero(live & (rank == lowest))
             if len(place):
+                # of overlapping pairs (a symbol repeated), every other one from the left
                 start = np.concatenate([[True], place[1:] != place[:-1] + 1])
                 run = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
                 taken = (np.arange(len(place)) - run) % 2 == 0
                 # a symbol that can merge earlier than its own rank goes on before the word's next pair
-                early = self.earliest[merged[place]] < rank[place]
+                early = self.earliest[made[place]] < rank[place]
                 leftmost = np.concatenate([[True], word[place][1:] != word[place][:-1]])
                 place = place[taken & (leftmost | ~early)]
-                symbols[place] = merged[place]
+                symbols[place] = made[place]
                 live[place + 1] = False
-            symbols, owner = symbols[live], owner[live]
+            new = np.zeros(len(symbols), bool)
+            new[place] = True
+            symbols, owner, rank, made, new = symbols[live], owner[live], rank[live], made[live], new[live]
+            # only pairs with a new symbol are looked up again
+            changed = new.copy()
+            changed[:-1] |= new[1:]
+            changed = np.flatnonzero(changed)
+            rank[changed] = NONE
+            changed = changed[changed < len(owner) - 1]
+            changed = changed[owner[changed] == owner[changed + 1]]
+            rank[changed], made[changed] = self._ranks(symbols[changed], symbols[changed + 1])
         if not done_symbols:
             return np.empty(0, np.int32), np.zeros(len(words), np.int64)
         flat, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
@@ -131,7 +130,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = widened(docs, f"{name} array<int>")
 
     def run(batches):
-        bpe = MergeIds(path)
+        bpe = MergeIds.kept(path)
         for batch in batches:
             for part in by_text(batch, text, MOST_BYTES):
                 ids, lengths = bpe.encode(part.column(text).to_pylist())
@@ -148,7 +147,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = widened(encoded, f"{name} string")
 
     def run(batches):
-        bpe = MergeIds(path)
+        bpe = MergeIds.kept(path)
         for batch in batches:
             texts = [bpe.decode(np.array(row or [], np.int64)) for row in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
@@ -160,7 +159,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of an encoding and the decoding of its ids, in one pass: the ids of a
     long corpus need not leave the task that made them to be decoded and hashed."""
     def run(batches):
-        bpe = MergeIds(path)
+        bpe = MergeIds.kept(path)
         numbers = [str(i) for i in range(len(bpe.tokens))]
         for batch in batches:
             for part in by_text(batch, "text", MOST_BYTES):

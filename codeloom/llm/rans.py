@@ -29,7 +29,7 @@ from codeloom.llm.tokens import LibraryIds
 from codeloom.session import scratch_path, shared_dir, written
 
 MAGIC = b"LOOMANS1"
-GROUP, BLOCK, LANES, BITS = 1 << 21, 1 << 14, 32, 20
+GROUP, BLOCK, LANES, BITS = 1 << 20, 1 << 14, 32, 20
 LOWEST = np.uint64(1 << 31)
 MOST_BYTES = 2 << 20
 
@@ -132,7 +132,7 @@ def write(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         from pyspark import TaskContext
 
         system, local = file_system(folder)
-        encoder = LibraryIds(path)
+        encoder = LibraryIds.kept(path)
         part = TaskContext.get().partitionId()
         # a name for every attempt: only the files of attempts that succeed are in the list
         name = f"part-{part:06d}-{uuid.uuid4().hex}.ans"

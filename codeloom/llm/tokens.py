@@ -1,28 +1,77 @@
 """Token ids of whole texts, chunk by chunk.
 
 A chunk is what stands between white space, or a special token of the vocabulary; no token spans two chunks, so a text's ids
-are those of its chunks in order. A task keeps the ids of chunks it has seen in flat arrays (at most ``MOST_KEPT`` chunks,
-then it starts afresh), and looks up only new ones.
+are those of its chunks in order. A worker keeps the ids of chunks it has seen in flat arrays under the chunks' 64-bit hashes
+(at most ``MOST_KEPT`` chunks, then it starts afresh); only new ones are looked at as text.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import numpy as np
 
-#: Chunks whose ids one task keeps.
-MOST_KEPT = 300_000
+from codeloom.llm.words import U, hash_words, split_words
+
+#: Chunks whose ids one worker keeps, and the slots of their table.
+MOST_KEPT, SLOT_BITS = 1_000_000, 21
 #: Beyond these letters, normal forms and lower case are left to the library.
 RARE = re.compile("[^\x00-ɏ]|İ")
-#: White space up to U+024F.
-SPACES = "\t\n\x0b\x0c\r\x85\xa0"
+_LATIN = [chr(i) for i in range(0x250)]
+_LETTERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
+#: The split pattern of the vocabulary for texts up to U+024F without white space.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_kept: dict = {}
+
+
+class HashTable:
+    """Open addressing in two arrays: 64-bit keys to numbers."""
+
+    def __init__(self):
+        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.values = np.zeros(1 << SLOT_BITS, np.int32)
+
+    def _slot(self, keys):
+        return (keys >> U(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        slot = self._slot(keys)
+        out = np.full(len(keys), -1, np.int32)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            seen = self.keys[slot]
+            hit = seen == keys[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            go = ~hit & (seen != 0)
+            open_, slot = open_[go], (slot[go] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray):
+        """New, distinct keys."""
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            self.keys[at], self.values[at] = keys[free[first]], values[free[first]]
+            left = np.ones(len(keys), bool)
+            left[free[first]] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
 
 
 class ChunkIds:
     """Ids of texts; ``ids_of_chunks`` says how new chunks are encoded: chunks -> (flat ids, ids per chunk)."""
 
+    @classmethod
+    def kept(cls, path: str):
+        """This worker's encoder: one that an earlier task has filled is used again."""
+        if (cls, path) not in _kept:
+            _kept[cls, path] = cls(path)
+        return _kept[cls, path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -35,7 +84,7 @@ class ChunkIds:
         self._reset()
 
     def _reset(self):
-        self.codes: dict[str, int] = {}
+        self.table = HashTable()
         self.flat = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
@@ -43,58 +92,86 @@ class ChunkIds:
     def ids_of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def chunks(self, text: str) -> list[str]:
+    def normal(self, text: str) -> str:
+        """The text in normal form, its chunks set apart by white space."""
         if self.special is not None and "<|" in text:
-            found = []
-            for k, part in enumerate(self.special.split(text)):
-                found += [part] if k % 2 else self._plain(part)
-            return found
+            return " ".join(part if k % 2 else self._plain(part) for k, part in enumerate(self.special.split(text)))
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[str]:
+    def _plain(self, text: str) -> str:
         if RARE.search(text):
-            text = self.library.normalizer.normalize_str(text)
-        else:
-            for space in SPACES:
-                text = text.replace(space, " ")
-            text = text.lower()
-        return [c for c in text.split(" ") if c]
+            return self.library.normalizer.normalize_str(text)
+        if not text.isascii():
+            text = text.replace("\x85", " ").replace("\xa0", " ")
+        return text.lower()
+
+    def pieces(self, chunk: str) -> list[bytes]:
+        """The bytes of the words that a chunk is split into."""
+        if not RARE.search(chunk):
+            return [p.encode() for p in PIECES.findall(chunk)]
+        # the library's pieces come in letters that stand for their bytes, one for each byte
+        raw, at, found = chunk.encode(), 0, []
+        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk):
+            found.append(raw[at:at + len(piece)])
+            at += len(piece)
+        return found
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all texts, ids per text); null counts as empty."""
-        split = [self.chunks(t) if t else [] for t in texts]
-        new = set().union(*split) - self.codes.keys() if split else set()
-        if len(self.codes) + len(new) > MOST_KEPT:
-            self._reset()
-            new = set().union(*split)
-        if new:
-            self._learn(sorted(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((c for chunks in split for c in map(self.codes.__getitem__, chunks)), np.int64, int(counts.sum()))
+        data, begins, ends, bounds = split_words([self.normal(t).encode() if t else b"" for t in texts])
+        keys = hash_words(data, begins, ends)
+        keys[keys == 0] = 1
+        codes = self.table.find(keys)
+        if (codes < 0).any():
+            new, at = self._new(keys, codes)
+            if len(self.lengths) + len(new) > MOST_KEPT:
+                self._reset()
+                codes[:] = -1
+                new, at = self._new(keys, codes)
+            self._learn(new, [bytes(data[a:b]).decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            missing = np.flatnonzero(codes < 0)
+            codes[missing] = self.table.find(keys[missing])
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
-
-    def _learn(self, chunks: list[str]):
-        special = [c for c in chunks if c in self.special_ids]
-        plain = [c for c in chunks if c not in self.special_ids]
-        flat, lengths = self.ids_of_chunks(plain)
-        flat = np.concatenate([flat, np.array([self.special_ids[c] for c in special], flat.dtype)])
-        lengths = np.concatenate([lengths, np.ones(len(special), np.int64)])
-        first, base = len(self.codes), len(self.flat)
-        self.codes.update(zip(plain + special, range(first, first + len(chunks)), strict=True))
+        return ids, np.diff(np.concatenate([[0], ends])[bounds])
+
+    @staticmethod
+    def _new(keys, codes):
+        missing = np.flatnonzero(codes < 0)
+        new, first = np.unique(keys[missing], return_index=True)
+        return new, missing[first]
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]):
+        special = np.array([c in self.special_ids for c in chunks], bool)
+        order = np.concatenate([np.flatnonzero(~special), np.flatnonzero(special)])
+        n = int((~special).sum())
+        flat, lengths = self.ids_of_chunks([chunks[i] for i in order[:n]])
+        flat = np.concatenate([flat, np.array([self.special_ids[chunks[i]] for i in order[n:]], flat.dtype)])
+        lengths = np.concatenate([lengths, np.ones(len(order) - n, np.int64)])
+        first, base = len(self.lengths), len(self.flat)
+        self.table.add(keys[order], np.arange(first, first + len(order), dtype=np.int32))
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
 
 
+def gathered(counts: list[int], flat: np.ndarray, lengths: np.ndarray, which: np.ndarray):
+    """Lists made of other lists: (flat values, lengths), the n-th being the next ``counts[n]`` of ``which`` put together."""
+    starts = np.cumsum(lengths) - lengths
+    own = lengths[which]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    values = flat[np.repeat(starts[which] - (ends - own), own) + np.arange(total)]
+    return values, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
+
+
 class LibraryIds(ChunkIds):
     """New chunks are encoded by the tokenizers library itself."""
 
     def ids_of_chunks(self, chunks):
         found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        lengths = np.fromiter((len(e.ids) for e in found), np.int64, len(found))
-        return np.fromiter((i for e in found for i in e.ids), np.int32, int(lengths.sum())), lengths
+        lists = [e.ids for e in found]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum())), lengths

@@ -35,18 +35,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, bounds): text i has the words bounds[i]:bounds[i + 1]. Null counts as empty."""
-    raw = [(t or "").encode() for t in texts]
+def split_words(raw: list[bytes]):
+    """(bytes, begins, ends, bounds) of the words of some texts: word i is bytes[begins[i]:ends[i]], and text k has the words
+    bounds[k]:bounds[k + 1]."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     space = SPACE[data]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    firsts = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return data, begins, ends, np.searchsorted(begins, firsts)
+
+
+def hash_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(LETTERS[data] * powers(BASE, len(data)), out=sums[1:])
-    hashes = mixed((sums[ends] - sums[begins]) * powers(BACK, len(data))[begins])
-    firsts = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return hashes, np.searchsorted(begins, firsts)
+    return mixed((sums[ends] - sums[begins]) * powers(BACK, len(data))[begins])
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, bounds): text i has the words bounds[i]:bounds[i + 1]. Null counts as empty."""
+    data, begins, ends, bounds = split_words([(t or "").encode() for t in texts])
+    return hash_words(data, begins, ends), bounds
 
 
 def windows(hashes: np.ndarray, length: int, factor: int) -> np.ndarray:
