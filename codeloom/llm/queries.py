@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, mixing, rans, warc, weaklabel
+from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, mixing, rans, recompression, warc, weaklabel
 from codeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ SQL["op4_ego_join"] = egojoin.SQL
 def op9_bagminhash(spark, sf_dir):
     """Every document with the id of its group of near-duplicates, and whether it is the one that stays."""
     return bagminhash.labelled(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_substring_dedup(spark, sf_dir):
+    """How many words every document loses to repeated windows, and the digest of what is kept."""
+    return recompression.digests(table(spark, sf_dir, "documents"))
