@@ -134,9 +134,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in by_text(batch, text, MOST_BYTES):
                 ids, lengths = bpe.encode(part.column(text).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, listed(ids, lengths)], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -155,9 +153,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of an encoding and the decoding of its ids, in one pass: the ids of a
-    long corpus need not leave the task that made them to be decoded and hashed."""
+    long corpus need not leave the task that made them to be decoded and hashed. ``with_ids`` adds them as a column ids."""
     def run(batches):
         bpe = MergeIds.kept(path)
         numbers = [str(i) for i in range(len(bpe.tokens))]
@@ -170,10 +168,19 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     own = ids[start:end]
                     hashes.append(hashlib.sha256(" ".join(map(numbers.__getitem__, own.tolist())).encode()).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(own).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(lengths), pa.array(hashes), pa.array(decoded)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [part.column("doc_id"), pa.array(lengths), pa.array(hashes), pa.array(decoded)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(listed(ids, lengths))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = ", ids array<int>" if with_ids else ""
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+
+
+def listed(ids: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))

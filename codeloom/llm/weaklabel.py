@@ -211,3 +211,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
                                                  names=[*part.schema.names, score, keep])
 
     return docs.mapInArrow(run, widened(docs, f"{score} double, {keep} boolean"))
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that a scorer fitted on them keeps, with its columns."""
+    rated = scored(docs, fit(docs))
+    return rated.where(F.col(rated.columns[-1])).select(*docs.columns)
