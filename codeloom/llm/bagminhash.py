@@ -33,7 +33,9 @@ LEAST, SHINGLE = 0.8, 5
 #: A pair with similarity 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 32 = 6e-5.
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
-MOST_BYTES = 4 << 20
+MOST_BYTES = 2 << 20
+#: Points that a task makes at once.
+MOST_POINTS = 400_000
 #: Points that a document makes, on average, before its signature is taken to be full (19 in 20 are).
 POINTS = SLOTS * (np.log(SLOTS) + 3)
 
@@ -73,6 +75,29 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, times: np.ndarray, n_docs:
     out = np.full((n_docs, SLOTS), empty)
     owner, key, first, width, most = bands_of(doc, shingle, times)
     weight = np.bincount(doc, times, n_docs)
+
+    def add_points(live: np.ndarray, step: int, horizon: np.ndarray):
+        """All points of some processes up to their documents' horizons."""
+        now, number = np.zeros(len(live)), np.zeros(len(live), np.uint64)
+        while len(live):
+            n = number[:, None] + np.arange(1, step + 1, dtype=np.uint64)
+            bits = mixed(key[live][:, None] + n * U(0x9E3779B97F4A7C15))
+            time = now[:, None] + np.cumsum(-np.log(uniform(bits)), axis=1) / width[live][:, None]
+            i, j = np.nonzero(time <= horizon[owner[live]][:, None])
+            more = mixed(bits[i, j] ^ U(0x2545F4914F6CDD1D))
+            inside = np.ones(len(i), bool)
+            part = np.flatnonzero(width[live[i]] > 1)  # wider bands: which occurrence is it?
+            if len(part):
+                at = live[i[part]]
+                place = first[at] + np.floor(uniform(mixed(more[part] + U(1))) * width[at])
+                inside[part] = place < most[at]
+            i, j, more = i[inside], j[inside], more[inside]
+            slot = (more >> U(32)) % U(SLOTS)
+            value = time[i, j].astype(np.float32).view(np.uint32).astype(np.uint64) << U(32) | (more & U(0xFFFFFFFF))
+            np.minimum.at(out.reshape(-1), owner[live[i]] * SLOTS + slot.astype(np.int64), value)
+            go = time[:, -1] <= horizon[owner[live]]
+            now, number, live = time[go, -1], number[go] + U(step), live[go]
+
     stretch = 1.0
     left = np.flatnonzero(weight > 0)
     while len(left):
@@ -80,28 +105,11 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, times: np.ndarray, n_docs:
         horizon[left] = stretch * POINTS / weight[left]
         chosen = horizon[owner] > 0
         spread = np.maximum(horizon[owner] * width, 0)
-        # entries with many points to come make them in larger steps
-        for low, high, step in ((-1, 1.5, 1), (1.5, 12, 6), (12, np.inf, 96)):
-            live = np.flatnonzero(chosen & (spread > low) & (spread <= high))
-            now, number = np.zeros(len(live)), np.zeros(len(live), np.uint64)
-            while len(live):
-                n = number[:, None] + np.arange(1, step + 1, dtype=np.uint64)
-                bits = mixed(key[live][:, None] + n * U(0x9E3779B97F4A7C15))
-                time = now[:, None] + np.cumsum(-np.log(uniform(bits)), axis=1) / width[live][:, None]
-                i, j = np.nonzero(time <= horizon[owner[live]][:, None])
-                more = mixed(bits[i, j] ^ U(0x2545F4914F6CDD1D))
-                inside = np.ones(len(i), bool)
-                part = np.flatnonzero(width[live[i]] > 1)  # wider bands: which occurrence is it?
-                if len(part):
-                    at = live[i[part]]
-                    place = first[at] + np.floor(uniform(mixed(more[part] + U(1))) * width[at])
-                    inside[part] = place < most[at]
-                i, j, more = i[inside], j[inside], more[inside]
-                slot = (more >> U(32)) % U(SLOTS)
-                value = time[i, j].astype(np.float32).view(np.uint32).astype(np.uint64) << U(32) | (more & U(0xFFFFFFFF))
-                np.minimum.at(out.reshape(-1), owner[live[i]] * SLOTS + slot.astype(np.int64), value)
-                go = time[:, -1] <= horizon[owner[live]]
-                now, number, live = time[go, -1], number[go] + U(step), live[go]
+        # entries with many points to come make them in larger steps, some entries at a time
+        for low, high, step in ((-1, 1.5, 1), (1.5, 6, 4), (6, 24, 12), (24, 100, 48), (100, np.inf, 192)):
+            own = np.flatnonzero(chosen & (spread > low) & (spread <= high))
+            for at in range(0, len(own), MOST_POINTS // step):
+                add_points(own[at:at + MOST_POINTS // step], step, horizon)
         full = (out[left] != empty).all(axis=1)
         left, stretch = left[~full], stretch * 2
     return out
