@@ -14,23 +14,30 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import annotate, diff, lookup, memory, paging, rank, rollup, traverse
 from codeloom.schema import TAG_TAXONOMY
+from codeloom.sources import tree
 from codeloom.sources.paths import storage_paths
 from codeloom.sources.store import GraphStore, MemoryLog
 from codeloom.sources.tree import source_tree
+from codeloom.session import written
 
 ANNOTATIONS = "qualified_name STRING, summary STRING, tags ARRAY<STRING>, role STRING, failed BOOLEAN, position BIGINT"
 
 
 def respond(result: dict[str, Any], token_budget: int | None = None) -> dict[str, Any]:
-    """The result with its DataFrames collected. With a budget no more rows are fetched than could fit it, as each row
-    takes at least a token's worth of text."""
-    def plain(value):
+    """The result with its tables collected. With a budget only as many of a table's first rows are fetched as could fit it
+    (a row takes two characters at least), and the rest is counted, so that ``truncated_items`` counts every row left out."""
+    if token_budget is None:
+        return {k: [r.asDict(recursive=True) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in result.items()}
+    plain, more = {}, {}
+    for name, value in result.items():
         if isinstance(value, DataFrame):
-            rows = value if token_budget is None else value.limit(4 * max(1, token_budget))
-            return [row.asDict(recursive=True) for row in rows.collect()]
-        return value
-
-    return paging.apply_budget({k: plain(v) for k, v in result.items()}, token_budget)
+            rows = value.limit(2 * max(1, token_budget) + 1).collect()
+            plain[name] = [r.asDict(recursive=True) for r in rows]
+            if len(rows) > 2 * max(1, token_budget):
+                more[name] = value.count() - len(rows)
+        else:
+            plain[name] = value
+    return paging.fit(plain, token_budget, more)
 
 
 def _split_scope(scope: Sequence[str] | None) -> tuple[list[str] | None, list[str] | None]:
@@ -50,12 +57,29 @@ class CodeGraph:
         self.store = GraphStore(spark, self.paths.store)
         self.memory = MemoryLog(spark, self.paths.memory)
 
+    def call(self, tool: str, **settings: Any) -> dict[str, Any]:
+        """A tool by its name; what a caller got wrong is told in the answer, not raised."""
+        if tool.startswith("_") or not callable(getattr(type(self), tool, None)):
+            return {"error": f"no tool is called {tool!r}"}
+        try:
+            return getattr(self, tool)(**settings)
+        except paging.InvalidCursor as exc:
+            return {"error": str(exc), "code": "invalid_cursor"}
+        except (ValueError, TypeError) as exc:
+            return {"error": str(exc)}
+
     # ---- indexing and status ------------------------------------------------------------------------------------
 
     def index_codebase(self, full: bool = False, files: DataFrame | None = None) -> dict[str, Any]:
-        files = source_tree(self.spark, self.paths.project_root) if files is None else files
-        index = self.store.index_all if full or self.store.version() == 0 else self.store.index_changed
-        version = index(files)
+        root = self.paths.project_root
+        if full or self.store.version() == 0:
+            version = self.store.index_all(source_tree(self.spark, root) if files is None else files)
+        elif files is not None:
+            version = self.store.index_changed(files)
+        else:
+            found = written(tree.changes(diff.stored_hashes(self.store.nodes()), root), "changes")
+            wanted = found.where(F.col("change_type") != "deleted").select("file_path")
+            version = self.store.index_changes(found, tree.read_sources(wanted, root))
         stats = self.store.manifest().where(F.col("graph_version") == version).first()
         errors = self.store.records().where(F.col("record") == "error").select("message")
         return {
@@ -83,7 +107,7 @@ class CodeGraph:
         nodes = self.store.ranked_nodes()
         chosen = self._find(nodes, [name]).drop("requested")
         if chosen.isEmpty():
-            return {"found": False, "message": f"No node found matching '{name}'"}
+            return {"found": False, "message": f"nothing in the graph is called {name!r}"}
         result = {"found": True, "node": lookup.shape(chosen, response_shape)}
         if response_shape != "compact":
             result["neighbors"] = self._neighbors(nodes, chosen, response_shape)
@@ -92,9 +116,9 @@ class CodeGraph:
     def batch_query_nodes(self, names: Sequence[str], include_neighbors: bool = True, response_shape: str = "standard",
                           cursor: str | None = None, limit: int | None = None) -> dict[str, Any]:
         paging.check_shape(response_shape)
-        call = paging.query_hash("batch_query_nodes", {
-            "names": list(names), "include_neighbors": include_neighbors, "response_shape": response_shape})
-        start = paging.cursor_offset(cursor, call)
+        call = paging.call_mark("batch_query_nodes", names=list(names), include_neighbors=include_neighbors,
+                                response_shape=response_shape)
+        start = (paging.read_cursor(cursor, call, 1) or [0])[0]
         stop = start + limit if limit and limit > 0 else len(names)
         here = list(names)[start:stop]
         nodes = self.store.ranked_nodes()
@@ -103,7 +127,7 @@ class CodeGraph:
         result = {
             "found": len(known), "not_found": [n for n in here if n not in known],
             "nodes": lookup.shape(found.drop("requested"), response_shape),
-            "next_cursor": paging.encode_cursor(stop, call) if stop < len(names) else None}
+            "next_cursor": paging.write_cursor(call, [stop]) if stop < len(names) else None}
         if include_neighbors and response_shape != "compact":
             result["neighbors"] = self._neighbors(nodes, found, response_shape)
         return result
@@ -112,14 +136,10 @@ class CodeGraph:
                             include_edges: bool = False, max_nodes: int = 50, response_shape: str = "standard",
                             cursor: str | None = None) -> dict[str, Any]:
         paging.check_shape(response_shape)
-        call = paging.query_hash("get_context_summary", {
-            "file_paths": file_paths, "qualified_names": qualified_names, "include_edges": include_edges,
-            "response_shape": response_shape})
-        offset = paging.cursor_offset(cursor, call)
-        top = rank.context_summary(self.store.nodes(), self.store.centrality(), file_paths, qualified_names,
-                                   offset + max_nodes + 1)
-        order = [F.desc(F.coalesce("centrality", F.lit(0.0))), F.desc("in_degree"), "qualified_name"]
-        rows, following = paging.page(top, order, cursor, max_nodes, call)
+        call = paging.call_mark("get_context_summary", file_paths=file_paths, qualified_names=qualified_names,
+                                include_edges=include_edges, response_shape=response_shape)
+        found = rank.context_summary(self.store.nodes(), self.store.centrality(), file_paths, qualified_names, None)
+        rows, following = paging.page(found, ["-centrality", "-in_degree", "qualified_name"], cursor, max_nodes, call)
         shown = lookup.shape(rows, response_shape)
         if "file_path" not in shown.columns:
             shown = shown.join(rows.select("qualified_name", "file_path"), "qualified_name")
@@ -136,10 +156,8 @@ class CodeGraph:
     def search(self, query: str, kind: str | None = None, limit: int = 20, response_shape: str = "standard",
                cursor: str | None = None) -> dict[str, Any]:
         paging.check_shape(response_shape)
-        call = paging.query_hash("search", {"query": query, "kind": kind, "response_shape": response_shape})
+        call = paging.call_mark("search", query=str(query), kind=kind, response_shape=response_shape)
         found = self.store.search(query, kind, limit=None)
-        scores = self.store.centrality().select("id", "centrality")
-        found = found.drop("centrality").join(scores, "id", "left")
         rows, following = paging.page(found, ["rank", "qualified_name"], cursor, limit, call)
         return {"count": rows.count(), "results": lookup.shape(rows, response_shape), "next_cursor": following}
 
@@ -148,8 +166,8 @@ class CodeGraph:
         paging.check_shape(response_shape)
         nodes = lookup.find_nodes(self.store.ranked_nodes(), file_path=file_path)
         if nodes.isEmpty():
-            return {"found": False, "message": f"No nodes found for file '{file_path}'"}
-        call = paging.query_hash("get_file_structure", {"file_path": file_path, "response_shape": response_shape})
+            return {"found": False, "message": f"the graph has nothing from {file_path!r}"}
+        call = paging.call_mark("get_file_structure", file_path=file_path, response_shape=response_shape)
         rows, following = paging.page(nodes, ["start_line", "qualified_name"], cursor, limit, call)
         result = {"found": True, "file_path": file_path, "nodes": lookup.shape(rows, response_shape),
                   "next_cursor": following}
@@ -169,13 +187,12 @@ class CodeGraph:
         nodes, edges = self.store.ranked_nodes(), self.store.edges()
         start = self._find(nodes, [name]).select("id", "qualified_name").first()
         if start is None:
-            return {"found": False, "message": f"No node found matching '{name}'"}
+            return {"found": False, "message": f"nothing in the graph is called {name!r}"}
         tool, source, items = (("find_dependents", "target", "dependents") if reverse
                                else ("find_dependencies", "source", "dependencies"))
-        call = paging.query_hash(tool, {"name": name, "edge_kinds": edge_kinds, "max_depth": max_depth,
-                                        "response_shape": response_shape})
+        call = paging.call_mark(tool, name=name, edge_kinds=edge_kinds, max_depth=max_depth, response_shape=response_shape)
         seed = self.spark.range(1).select(F.lit(start["id"]).alias("seed_id"))
-        reached = traverse.closure(edges, seed, max_depth, edge_kinds, reverse, seed_rows=1).drop("seed_id")
+        reached = traverse.closure(edges, seed, max_depth, edge_kinds, reverse).drop("seed_id")
         found = traverse.closure_nodes(nodes, reached)
         rows, following = paging.page(found, ["depth", "qualified_name"], cursor, limit, call)
         return {"found": True, source: start.asDict(), "count": rows.count(), items: lookup.shape(rows, response_shape),
@@ -195,26 +212,25 @@ class CodeGraph:
         if algorithm not in ("in_degree", "transitive"):
             raise ValueError(f"unknown algorithm {algorithm!r}: use in_degree or transitive")
         files, names = _split_scope(scope)
-        call = paging.query_hash("rank_nodes", {"scope": scope, "kind": kind, "algorithm": algorithm,
-                                                "response_shape": response_shape})
-        size = paging.cursor_offset(cursor, call) + limit + 1
+        call = paging.call_mark("rank_nodes", scope=scope, kind=kind, algorithm=algorithm, response_shape=response_shape)
         nodes, edges = self.store.ranked_nodes(), self.store.edges()
         if algorithm == "in_degree":
-            ranked = rank.rank_by_in_degree(nodes, edges, files, names, kind, size)
+            ranked = rank.rank_by_in_degree(nodes, edges, files, names, kind, None)
             ranked, score = ranked.withColumn("score", F.col("in_degree")), "in_degree"
         else:
             scoped = nodes.where(rank.in_scope(files, None, kind))
-            ranked = rank.rank_by_transitive(scoped, edges, names, size)
+            ranked = rank.rank_by_transitive(scoped, edges, names, None)
             ranked, score = ranked.withColumn("score", F.col("transitive_count")), "transitive_count"
-        rows, following = paging.page(ranked, [F.desc(score), "qualified_name"], cursor, limit, call)
+        rows, following = paging.page(ranked, [f"-{score}", "qualified_name"], cursor, limit, call)
         return {"ranked": lookup.shape(rows, response_shape), "next_cursor": following}
 
     # ---- annotation -----------------------------------------------------------------------------------------------
 
     def get_pending_annotations(self, batch_size: int = 10, retry_failed: bool = False, files: DataFrame | None = None):
         nodes, edges = self.store.ranked_nodes(), self.store.edges()
-        if files is None:
-            files = source_tree(self.spark, self.paths.project_root)
+        if files is None:  # only the files that the batch names are read
+            wanted = annotate.pending_nodes(nodes, batch_size, retry_failed).select("file_path").distinct()
+            files = tree.read_sources(wanted, self.paths.project_root)
         batch = annotate.pending_queue(nodes, edges, files, batch_size, retry_failed)
         return {"batch": batch, "neighbors": annotate.queue_neighbors(nodes, edges, batch), "taxonomy": TAG_TAXONOMY,
                 "count": batch.count()}
@@ -232,10 +248,11 @@ class CodeGraph:
                              [t for t in tags if isinstance(t, str)], str(item.get("role") or ""),
                              bool(item.get("failed")), position))
             annotations = self.spark.createDataFrame(rows, ANNOTATIONS)
-        nodes = self.store.nodes()
+        parts = self.store.parts_of(annotations)
+        nodes = self.store.nodes(parts=parts)
         stats = annotate.write_stats(nodes, annotations).first().asDict()
         if stats["written"] or stats["failed"]:
-            self.store.commit(annotate.write_annotations(nodes, annotations), self.store.edges())
+            self.store.commit(annotate.write_annotations(nodes, annotations), parts=parts)
         return stats | {"skipped": stats["skipped"] + skipped}
 
     def find_stale_annotations(self, file_paths: Sequence[str] | None = None, limit: int = 50):
@@ -252,7 +269,8 @@ class CodeGraph:
         stats = annotate.requeue_stats(found, dry_run).first().asDict()
         result = stats | {"dry_run": dry_run, "nodes": found}
         if not dry_run and stats["low_quality"]:
-            self.store.commit(annotate.requeue(nodes, limit), self.store.edges())
+            parts = self.store.parts_of(found)
+            self.store.commit(annotate.requeue(self.store.nodes(parts=parts), limit), parts=parts)
         return result
 
     # ---- changes --------------------------------------------------------------------------------------------------
@@ -262,7 +280,7 @@ class CodeGraph:
         """What changed between two versions, by default the last two."""
         after = self.store.version() if after is None else after
         if after == 0:
-            return {"error": "No diff available. Run index_codebase first."}
+            return {"error": "there is no version to compare yet: index the project first"}
         before = after - 1 if before is None else before
         nodes = diff.node_diff(diff.snapshot_nodes(self.store.nodes(before)), diff.snapshot_nodes(self.store.nodes(after)))
         edges = diff.edge_diff(*[diff.snapshot_edges(self.store.nodes(v), self.store.edges(v)) for v in (before, after)])
@@ -332,14 +350,14 @@ class CodeGraph:
 
     def list_nodes(self, kind: str | None = None, limit: int = 50, offset: int = 0) -> dict[str, Any]:
         rows = lookup.find_nodes(self.store.nodes(), kind=kind).orderBy("file_path", "start_line", "id")
-        rows = rows.offset(offset).limit(min(limit, 500)) if offset else rows.limit(min(limit, 500))
+        rows = rows.offset(offset).limit(limit) if offset else rows.limit(limit)
         return {"count": rows.count(), "nodes": lookup.shape(rows, "full")}
 
     def node_detail(self, node_id: int) -> dict[str, Any]:
         nodes = self.store.ranked_nodes()
         chosen = lookup.find_nodes(nodes, id=node_id)
         if chosen.isEmpty():
-            return {"error": "Node not found"}
+            return {"error": f"no node has the id {node_id}"}
         return {"node": lookup.shape(chosen, "full"), "neighbors": self._neighbors(nodes, chosen, "full")}
 
     def list_edges(self, source_id: int | None = None, target_id: int | None = None, kind: str | None = None):
@@ -356,7 +374,7 @@ class CodeGraph:
     def find_text(self, query: str, kind: str | None = None, limit: int = 20) -> dict[str, Any]:
         if not query:
             return {"count": 0, "results": []}
-        rows = self.store.search(query, kind, min(limit, 100))
+        rows = self.store.search(query, kind, limit)
         return {"count": rows.count(), "results": lookup.shape(rows, "full")}
 
     def files(self) -> dict[str, Any]:

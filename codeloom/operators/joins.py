@@ -8,46 +8,38 @@ from pyspark.sql import functions as F
 # Rows of one key above which its rows are spread over several tasks. The number of such
 # keys is at most (rows / HOT_ROWS), so the list of them is always small enough to broadcast.
 HOT_ROWS = 5_000_000
-SALTS = 32
-# Row count up to which a checked side of a few narrow columns is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of ``on`` with more than ``hot_rows`` rows, counted with map-side combine."""
+    """Keys of ``on`` with more than ``hot_rows`` rows, counted with map-side combine, and into how many parts each is
+    to be split: ``_salts``, in proportion to its rows."""
     return (
-        df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
+        df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
     )
 
 
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    *,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join on ``on`` (inner, left, left_semi or left_anti) with hot keys of ``big`` spread.
-
-    Rows of a hot key in ``big`` get one of ``salts`` salts from a hash of the row; the rows of
-    that key in ``small`` are repeated once per salt. All other keys keep salt 0. Rows with
-    a null key match nothing and are spread as well.
-    """
-    hot = F.broadcast(hot_keys(big, on, hot_rows))
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+def with_salt(df: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``_salt``: a part of the key for the rows of hot keys, by a hash of the row, and 0 for others."""
+    row = F.xxhash64(*df.columns)
+    return df.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(row, F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+
+
+def with_every_salt(df: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with a row for each part that its key is split into."""
+    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
+    return df.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Equi-join on ``on`` (inner, left, left_semi or left_anti) with the hot keys of ``big`` split by their size. Rows of
+    ``big`` with a null key match nothing and are kept out of the shuffle's way by a hash of the row."""
+    hot = hot_keys(big.dropna(subset=on), on, hot_rows)
     no_key = _any_null(on)
-    left = big.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = small.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    left = with_salt(big, on, hot).withColumn(
+        "_salt", F.when(no_key, F.pmod(F.xxhash64(*big.columns), F.lit(1 << 16)).cast("int")).otherwise(F.col("_salt")))
+    return left.join(with_every_salt(small, on, hot), [*on, "_salt"], how).drop("_salt")
 
 
 def _any_null(on: list[str]) -> Column:
@@ -79,8 +71,9 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work on texts that costs far more than
-    the shuffle of a small input. An input that already has that many is left where it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt out anew, for work on texts that costs far more than the shuffle: over at least twice the cores, or as
+    many partitions as a shuffle has."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)

@@ -124,15 +124,14 @@ def graph_slice(
     limit: int = 300,
     full: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The first nodes of a file, a directory or the whole graph, and the edges among them."""
-    size = 10_000 if full else min(limit, 500)
+    """The first ``limit`` nodes of a file, a directory or the whole graph (``full``: all of them), and the edges among them."""
     order = ["file_path", "start_line", "id"]
     if file_path:
         nodes = nodes.where((F.col("file_path") == file_path) & (F.col("kind") != "file"))
         order = ["start_line", "id"]
     elif directory:
         nodes = nodes.where(under_directory(F.col("file_path"), directory) & (F.col("kind") != "file"))
-    chosen = nodes.orderBy(*order).limit(size)
+    chosen = nodes.orderBy(*order) if full else nodes.orderBy(*order).limit(limit)
     return chosen, induced_edges(edges, chosen)
 
 

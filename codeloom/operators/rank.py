@@ -5,11 +5,10 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.joins import BROADCAST_ROWS, HOT_ROWS, hot_keys
+from codeloom.operators.joins import HOT_ROWS, hot_keys, with_every_salt, with_salt
 from codeloom.operators.traverse import dependent_counts
 from codeloom.schema import (
     DEFAULT_EDGE_WEIGHT,
@@ -19,7 +18,7 @@ from codeloom.schema import (
     PAGERANK_STOP_DELTA,
     PAGERANK_WARN_DELTA,
 )
-from codeloom.session import materialize, written
+from codeloom.session import bucketed, materialize, written
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -62,33 +61,29 @@ def rank_by_in_degree(
     file_paths: Sequence[str] | None = None,
     qualified_names: Sequence[str] | None = None,
     kind: str | None = None,
-    limit: int = 20,
+    limit: int | None = 20,
 ) -> DataFrame:
-    """Nodes by incoming edges, most first; ties by qualified name."""
-    scoped = nodes.where(in_scope(file_paths, qualified_names, kind))
-    return with_degrees(scoped, edges).orderBy(F.desc("in_degree"), "qualified_name").limit(limit)
+    """Nodes by incoming edges, most first; ties by qualified name. Without a limit all, in no order."""
+    ranked = with_degrees(nodes.where(in_scope(file_paths, qualified_names, kind)), edges)
+    return ranked if limit is None else ranked.orderBy(F.desc("in_degree"), "qualified_name").limit(limit)
 
 
 def rank_by_transitive(
     nodes: DataFrame,
     edges: DataFrame,
     qualified_names: Sequence[str] | None = None,
-    limit: int = 20,
-    candidates: int = 50,
+    limit: int | None = 20,
+    candidates: int | None = 50,
 ) -> DataFrame:
-    """Nodes by rows of their reverse closure to depth 10. The candidates are the first 50 names
-    given, or else the top 50 by in-degree, as the feature defines them."""
+    """Nodes by rows of their reverse closure to depth 10; ties by qualified name. The candidates are the nodes named, or
+    else the top ones by in-degree (50 unless said otherwise; None: all nodes)."""
     if qualified_names:
-        chosen = nodes.where(F.col("qualified_name").isin(*list(qualified_names)[:candidates]))
-        chosen = with_degrees(chosen, edges)
+        chosen = with_degrees(nodes.where(F.col("qualified_name").isin(*qualified_names)), edges)
     else:
         chosen = rank_by_in_degree(nodes, edges, limit=candidates)
-    chosen, _ = materialize(chosen)
-    # At most ``candidates`` ids.
-    counts = dependent_counts(edges, [r["id"] for r in chosen.select("id").collect()])
-    numbers = nodes.sparkSession.createDataFrame(list(counts.items()), "id BIGINT, transitive_count BIGINT")
-    scored = chosen.join(F.broadcast(numbers), "id")
-    return scored.orderBy(F.desc("transitive_count"), "qualified_name").limit(limit)
+    chosen = written(chosen, "candidates")
+    scored = chosen.join(dependent_counts(edges, chosen), "id")
+    return scored if limit is None else scored.orderBy(F.desc("transitive_count"), "qualified_name").limit(limit)
 
 
 def edge_weight(kind: Column) -> Column:
@@ -99,97 +94,66 @@ def edge_weight(kind: Column) -> Column:
     return out.otherwise(DEFAULT_EDGE_WEIGHT)
 
 
-def pagerank(
-    nodes: DataFrame,
-    edges: DataFrame,
-    rounds: int = PAGERANK_ROUNDS,
-    *,
-    broadcast_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def edge_shares(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a round needs: (shares, state, hot). shares(source_id, _salt, target_id, share) are the edges between known nodes
+    with the part of the source's rank each carries, bucketed by source; state(id, sink, in_degree); hot: the split of sources
+    with very many edges."""
+    ids = nodes.select("id")
+    # Equal ends are summed first, so that no later step meets a hub's repeated edges. Of the joins with the known nodes,
+    # each has plain shuffles on both sides, which adaptive execution splits where an end is very frequent.
+    pairs = written(edges.groupBy("source_id", "target_id").agg(
+        F.sum(edge_weight(F.col("kind"))).alias("w"), F.count(F.lit(1)).alias("n")), "edge-pairs")
+    known = written(ids, "node-ids")
+    valid = written(pairs.join(known.withColumnRenamed("id", "target_id"), "target_id")
+                    .join(known.withColumnRenamed("id", "source_id"), "source_id").select("source_id", "target_id", "w"), "edge-weights")
+    totals = written(valid.groupBy(F.col("source_id").alias("id")).agg(F.sum("w").alias("total")), "source-totals")
+    in_degree = pairs.groupBy(F.col("target_id").alias("id")).agg(F.sum("n").alias("in_degree"))
+    state = known.join(totals, "id", "left").join(in_degree, "id", "left").select(
+        "id", F.col("total").isNull().alias("sink"), F.coalesce("in_degree", F.lit(0).cast("long")).alias("in_degree"))
+    shares = valid.join(totals.withColumnRenamed("id", "source_id"), "source_id").select(
+        "source_id", "target_id", (PAGERANK_DAMPING * F.col("w") / F.col("total")).alias("share"))
+    hot, _ = materialize(hot_keys(valid, ["source_id"], hot_rows))
+    return bucketed(with_salt(shares, ["source_id"], hot), "edge-shares", ["source_id", "_salt"]), state, hot
+
+
+def pagerank_round(shares: DataFrame, ranks: DataFrame, hot: DataFrame, base: float) -> DataFrame:
+    """The next ranks(id, sink, rank, prev): the ranks meet the edges where these lie, and one partial sum per target and
+    task is shuffled. Every node sends itself a zero, so that nodes without incoming edges stay."""
+    sent = with_every_salt(ranks.select(F.col("id").alias("source_id"), "rank"), ["source_id"], hot)
+    got = shares.join(sent, ["source_id", "_salt"]).select(
+        F.col("target_id").alias("id"), (F.col("rank") * F.col("share")).alias("got"),
+        F.lit(None).cast("double").alias("prev"), F.lit(None).cast("boolean").alias("sink"))
+    own = ranks.select("id", F.lit(0.0).alias("got"), F.col("rank").alias("prev"), "sink")
+    return got.unionByName(own).groupBy("id").agg(
+        (F.sum("got") + F.lit(base)).alias("rank"), F.max("prev").alias("prev"), F.max("sink").alias("sink"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = PAGERANK_ROUNDS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, centrality, in_degree): weighted PageRank divided by its maximum.
 
-    The edges are divided by the source's total weight once and kept in memory. A round sends each
-    node's rank along its edges and sums by target (map-side first, so a hub as target is no
-    burden); every node sends itself a zero so that nodes without incoming edges stay. Ranks
-    of a checked, bounded number are broadcast to the edges. Beyond that they are shuffled to
-    the edges, while edges of sources with very many of them are kept apart and
-    get the few ranks they need by broadcast.
+    The edges are divided by their source's total weight and bucketed by source once; a round moves ranks and partial sums
+    only, and ends in a checkpoint that also gives the sums the next one needs.
     """
-    ids = nodes.select("id")
-    # Both ends must exist for an edge to carry rank; the in-degree needs only its target.
-    into = edges.join(ids.withColumnRenamed("id", "target_id"), "target_id")
-    in_degree = into.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
-    valid = (
-        into.join(ids.withColumnRenamed("id", "source_id"), "source_id")
-        .groupBy("source_id", "target_id").agg(F.sum(edge_weight(F.col("kind"))).alias("w"))
-    )
-    valid = written(valid, "edge-weights")
-    totals = valid.groupBy("source_id").agg(F.sum("w").alias("total"))
-    state = (
-        ids.join(totals.withColumnRenamed("source_id", "id"), "id", "left")
-        .join(in_degree, "id", "left")
-        .select("id", F.col("total").isNull().alias("sink"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
-    )
+    shares, state, hot = edge_shares(nodes, edges, hot_rows)
     state, info = materialize(state, sinks=F.count_if("sink"))
     n = info["rows"]
     if n == 0:
         return state.select("id", F.lit(0.0).alias("centrality"), "in_degree")
-    small = n <= broadcast_rows
-    shares = valid.join(totals, "source_id").select(
-        "source_id", "target_id", (PAGERANK_DAMPING * F.col("w") / F.col("total")).alias("share")
-    )
-    hot = None
-    if not small:
-        marked, found = materialize(hot_keys(shares, ["source_id"], hot_rows))
-        if found["rows"]:
-            hot = written(shares.join(F.broadcast(marked), "source_id", "left_semi"), "hot-edge-shares")
-            shares = shares.join(F.broadcast(marked), "source_id", "left_anti")
-    else:
-        # Edges of one target lie together, so that a round sends about one partial sum per node.
-        shares = shares.repartitionByRange("target_id", "source_id")
-    shares = written(shares, "edge-shares")
-    in_memory = [frame.persist(StorageLevel.MEMORY_AND_DISK) for frame in (shares, hot) if frame is not None]
-
-    spark = nodes.sparkSession
-    step = _round_sql(small, hot is not None)
     ranks = state.select("id", "sink", F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("prev"))
     sunk = info["sinks"] / n
     delta, top = None, 1.0 / n
     for _ in range(rounds):
         base = (1.0 - PAGERANK_DAMPING) / n + PAGERANK_DAMPING * sunk / n
-        tables = {"ranks": ranks, "shares": shares} | ({"hot": hot, "marked": marked} if hot is not None else {})
-        # The ranks are used twice in the next round, so each round ends in a table of its own.
         ranks, sums = materialize(
-            spark.sql(step, args={"base": base}, **tables),
-            sunk=F.expr("sum(CASE WHEN sink THEN rank END)"), top=F.expr("max(rank)"),
-            delta=F.expr("sum(abs(rank - prev))"))
+            pagerank_round(shares, ranks, hot, base), sunk=F.expr("sum(CASE WHEN sink THEN rank END)"),
+            top=F.expr("max(rank)"), delta=F.expr("sum(abs(rank - prev))"))
         sunk, delta, top = sums["sunk"] or 0.0, sums["delta"], sums["top"]
         if delta < PAGERANK_STOP_DELTA:
             break
     if delta is not None and delta > PAGERANK_WARN_DELTA:
         warnings.warn(f"PageRank stopped after {rounds} rounds with a delta of {delta:.3g}", stacklevel=2)
-    out, _ = materialize(
-        state.join(ranks.select("id", "rank"), "id")
-        .select("id", (F.col("rank") / F.lit(top)).alias("centrality"), "in_degree")
-    )
-    for frame in in_memory:
-        frame.unpersist()
-    return out
-
-
-def _round_sql(small: bool, has_hot: bool) -> str:
-    """One round as SQL: each node's rank along its edges, summed by target."""
-    ways = [f"""SELECT {'/*+ BROADCAST(r) */' if small else ''} s.target_id AS id, r.rank * s.share AS got,
-                CAST(NULL AS DOUBLE) AS prev, CAST(NULL AS BOOLEAN) AS sink
-                FROM {{shares}} s JOIN {{ranks}} r ON r.id = s.source_id"""]
-    if has_hot:
-        ways.append("""SELECT /*+ BROADCAST(r) */ s.target_id, r.rank * s.share, NULL, NULL FROM {hot} s JOIN
-                       (SELECT /*+ BROADCAST(m) */ q.id, q.rank FROM {ranks} q JOIN {marked} m ON m.source_id = q.id) r
-                       ON r.id = s.source_id""")
-    ways.append("SELECT id, 0.0D, rank, sink FROM {ranks}")
-    return f"""SELECT id, sum(got) + :base AS rank, max(prev) AS prev, max(sink) AS sink
-               FROM ({' UNION ALL '.join(ways)}) GROUP BY id"""
+    return written(state.join(ranks.select("id", "rank"), "id").select(
+        "id", (F.col("rank") / F.lit(top)).alias("centrality"), "in_degree"), "pagerank")
 
 
 def context_summary(
@@ -197,12 +161,12 @@ def context_summary(
     ranks: DataFrame,
     file_paths: Sequence[str] | None = None,
     qualified_names: Sequence[str] | None = None,
-    max_nodes: int = 50,
+    max_nodes: int | None = 50,
 ) -> DataFrame:
-    """The most central nodes in scope, with ``centrality`` and ``in_degree``."""
+    """The most central nodes in scope, with ``centrality`` and ``in_degree``; without a number all, in no order."""
     drop = [c for c in ("centrality", "in_degree", "in_degree_cache") if c in nodes.columns]
     scoped = nodes.drop(*drop).where(in_scope(file_paths, qualified_names))
-    joined = scoped.join(ranks, "id", "left")
-    return joined.orderBy(
-        F.desc(F.coalesce("centrality", F.lit(0.0))), F.desc(F.coalesce("in_degree", F.lit(0))), "qualified_name"
-    ).limit(max_nodes)
+    joined = scoped.join(ranks, "id", "left").fillna(0.0, ["centrality"]).fillna(0, ["in_degree"])
+    if max_nodes is None:
+        return joined
+    return joined.orderBy(F.desc("centrality"), F.desc("in_degree"), "qualified_name").limit(max_nodes)

@@ -89,7 +89,7 @@ def directory_tree(nodes: DataFrame) -> DataFrame:
 
 
 def edge_bundles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file_a, file_b, edge_count, dominant_kind) per pair of files with edges between them in either
+    """(file_a, file_b, edge_count, dominant_kind, kinds: count per kind) per pair of files with edges between them in either
     direction. Among kinds of equal count the first in the alphabet is taken."""
     from codeloom.operators.lookup import named_edges
 
@@ -101,6 +101,7 @@ def edge_bundles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per_kind.groupBy("file_a", "file_b").agg(
         F.sum("n").alias("edge_count"),
         F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("dominant_kind"),
+        F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds"),
     )
 
 

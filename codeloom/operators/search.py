@@ -14,7 +14,7 @@ import math
 import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -247,12 +247,31 @@ def _places(p: Phrase) -> Column:
     return places
 
 
-def _starts_clump(first: Phrase, others: list[Phrase], number: dict[int, str], distance: int) -> Column:
-    def follows(a: Column, other: Phrase) -> Column:
-        return F.exists(number[id(other)], lambda b: (a["col"] == b["col"]) & (b["pos"] >= a["pos"]) & (
-            b["pos"] - a["pos"] - len(first.words) <= distance))
+def _nears(query) -> list[Query]:
+    if isinstance(query, Phrase):
+        return []
+    return [query] if query.op == "near" else [n for part in query.parts for n in _nears(part)]
+
+
+def _in_clumps(query: Query, number: dict[int, str]) -> dict[str, Column]:
+    """For each phrase of a NEAR, those of its places that are in a clump. A clump has all phrases in one column, none of
+    them ending more than the distance before the start of the last one."""
+    def reaches(phrase: Phrase, place: Column, last: Column) -> Column:
+        return (place["col"] == last["col"]) & (place["pos"] <= last["pos"]) & (
+            place["pos"] >= last["pos"] - len(phrase.words) - query.distance)
+
+    def has(phrase: Phrase, last: Column) -> Column:
+        return F.exists(number[id(phrase)], lambda place: reaches(phrase, place, last))
+
+    anywhere = F.concat(*[F.col(number[id(p)]) for p in query.parts])
+    lasts = F.filter(anywhere, lambda last: reduce(and_, [has(p, last) for p in query.parts]))
+
+    def kept(phrase: Phrase) -> Column:
+        # the array around ``lasts`` has it found once per node, not once per place
+        return F.transform(F.array(lasts), lambda found: F.filter(
+            number[id(phrase)], lambda place: F.exists(found, lambda last: reaches(phrase, place, last))))[0]
 
-    return F.exists(number[id(first)], lambda a: reduce(and_, [follows(a, o) for o in others], F.lit(True)))
+    return {number[id(p)]: kept(p) for p in query.parts}
 
 
 def _holds(query, number: dict[int, str]) -> Column:
@@ -260,9 +279,7 @@ def _holds(query, number: dict[int, str]) -> Column:
     if isinstance(query, Phrase):
         return F.size(number[id(query)]) > 0 if query.words else F.lit(False)
     if query.op == "near":
-        # One of the phrases comes first, and all others start within the distance after its end.
-        clumps = [_starts_clump(p, [q for q in query.parts if q is not p], number, query.distance) for p in query.parts]
-        return reduce(or_, clumps)
+        return reduce(and_, [F.size(number[id(p)]) > 0 for p in query.parts])
     parts = [_holds(p, number) for p in query.parts]
     if query.op == "not":
         return parts[0] & ~parts[1]
@@ -296,14 +313,19 @@ def _match(hits: DataFrame, query, indexed, number, *totals: Column) -> tuple[Da
     places = hits.select("id", "dl", *[_places(p).alias(c) for c, p in zip(columns, indexed, strict=True)])
     seen = Observation()
     shared_dir(hits.sparkSession)
+    # The weight of a phrase comes from all rows that have it; a NEAR then keeps only what is in its clumps.
+    counted = places.observe(seen, *[F.count_if(F.size(c) > 0).alias(c) for c in columns], *totals)
+    for found in _nears(query):
+        counted = counted.withColumns(_in_clumps(found, number))
     matched = (
-        places.observe(seen, *[F.count_if(F.size(c) > 0).alias(c) for c in columns], *totals)
-        .where(_holds(query, number)).select("id", "dl", *[F.size(c).alias(c) for c in columns]).checkpoint()
+        counted.where(_holds(query, number)).select("id", "dl", *[F.size(c).alias(c) for c in columns]).checkpoint()
     )
     return matched, seen.get
 
 
 def _bm25(matched: DataFrame, query, number, having: dict, n: int, words: int) -> DataFrame:
+    if not n or not words:
+        return matched.select("id", F.lit(0.0).alias("rank"))
     score = F.lit(0.0)
     for c in [number[id(p)] for p in _scored(query)]:
         idf = math.log((n - having[c] + 0.5) / (having[c] + 0.5))

@@ -9,12 +9,13 @@ recursive UNION gives.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.joins import BROADCAST_ROWS, HOT_ROWS, salted_join
-from codeloom.session import materialize, written
+from codeloom.operators.joins import HOT_ROWS, hot_keys, with_every_salt, with_salt
+from codeloom.session import bucketed, materialize, written
 
 
 def links(edges: DataFrame, edge_kinds: Sequence[str] | None = None, reverse: bool = False) -> DataFrame:
@@ -25,6 +26,20 @@ def links(edges: DataFrame, edge_kinds: Sequence[str] | None = None, reverse: bo
     return edges.select(F.col(here).alias("here"), F.col(there).alias("there"))
 
 
+class Links:
+    """The links of a walk, written once: bucketed by the node they leave, the rows of very frequent nodes split by size.
+    A step shuffles the frontier only; where it is small, adaptive execution broadcasts it."""
+
+    def __init__(self, edges: DataFrame, edge_kinds: Sequence[str] | None = None, reverse: bool = False, hot_rows: int = HOT_ROWS):
+        step = written(links(edges, edge_kinds, reverse), "links")
+        self.hot, _ = materialize(hot_keys(step, ["here"], hot_rows))
+        self.table = bucketed(with_salt(step, ["here"], self.hot), "links", ["here", "_salt"])
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """``frontier(here, ...)`` with ``there`` for every link."""
+        return self.table.join(with_every_salt(frontier, ["here"], self.hot), ["here", "_salt"]).drop("_salt")
+
+
 def closure(
     edges: DataFrame,
     seeds: DataFrame,
@@ -32,43 +47,20 @@ def closure(
     edge_kinds: Sequence[str] | None = None,
     reverse: bool = False,
     *,
-    seed_rows: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """(seed_id, node_id, depth) for every seed in ``seeds(seed_id)``, all seeds in one pass.
-
-    ``seed_rows`` states the number of seeds where it is known; otherwise they are counted.
-
-    Each level is written to the shared folder and counted. A frontier of checked, bounded
-    size is broadcast, so the edges are scanned where they lie and hot nodes do no harm;
-    a larger one is joined with its hot nodes spread over several tasks.
-    """
-    step_edges = links(edges, edge_kinds, reverse)
+    """(seed_id, node_id, depth) for every seed in ``seeds(seed_id)``, all seeds in one pass. Each level is written to the
+    shared folder and counted on the way."""
+    table = Links(edges, edge_kinds, reverse, hot_rows)
     frontier = seeds.select("seed_id", F.col("seed_id").alias("here")).distinct()
-    if seed_rows is None:
-        frontier, info = materialize(frontier)
-    else:
-        info = {"rows": seed_rows}
     levels = []
     for depth in range(1, max(max_depth, 1) + 1):
-        rows = info["rows"]
-        if rows == 0:
-            break
-        if rows <= broadcast_rows:
-            reached = step_edges.join(F.broadcast(frontier), "here")
-        else:
-            reached = salted_join(step_edges, frontier, ["here"], hot_rows=hot_rows)
-        reached = reached.select("seed_id", F.col("there").alias("here")).distinct()
+        reached = table.step(frontier).select("seed_id", F.col("there").alias("here")).distinct()
         frontier, info = materialize(reached)
         levels.append(frontier.select("seed_id", F.col("here").alias("node_id"), F.lit(depth).alias("depth")))
-    if not levels:
-        empty = frontier.select("seed_id", F.col("here").alias("node_id"), F.lit(1).alias("depth"))
-        return empty.where(F.lit(False))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        if info["rows"] == 0:
+            break
+    return reduce(DataFrame.unionByName, levels)
 
 
 def closure_nodes(nodes: DataFrame, reached: DataFrame) -> DataFrame:
@@ -101,37 +93,38 @@ def dependents(
 def _walk(nodes, edges, qualified_name, edge_kinds, max_depth, reverse):
     # Qualified names are unique, so there is at most one seed.
     seeds = nodes.where(F.col("qualified_name") == qualified_name).select(F.col("id").alias("seed_id"))
-    reached = closure(edges, seeds, max_depth, edge_kinds, reverse, seed_rows=1)
+    reached = closure(edges, seeds, max_depth, edge_kinds, reverse)
     return closure_nodes(nodes, reached.drop("seed_id"))
 
 
-def dependent_counts(
-    edges: DataFrame, seeds: Sequence[int], max_depth: int = 10,
-    *, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
-) -> dict[int, int]:
-    """Rows of the reverse closure of each of a few seeds: pairs (node, depth).
+BITS = 62
+
+
+def dependent_counts(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, transitive_count) for every node in ``seeds(id)``: the rows of its reverse closure, pairs (node, depth).
 
-    All seeds walk together: a node carries one bit per seed that has reached it at this depth, so the cost of a
-    level does not grow with the number of seeds. The bits are summed while a level is written.
+    Seeds are numbered within parts of the table and go in blocks of 62. All blocks walk together: a node carries one bit per
+    seed of a block that has reached it at this depth, so a level's rows grow with the blocks, not with the seeds.
     """
-    counts = dict.fromkeys(seeds, 0)
-    numbered = list(counts)
-    step_edges = written(links(edges, reverse=True), "links")
-    for start in range(0, len(numbered), 62):
-        block = numbered[start:start + 62]
-        frontier = edges.sparkSession.createDataFrame([(s, 1 << i) for i, s in enumerate(block)], "here BIGINT, seen BIGINT")
-        rows = len(block)
-        for _ in range(max_depth):
-            if rows <= broadcast_rows:
-                reached = step_edges.join(F.broadcast(frontier), "here")
-            else:
-                reached = salted_join(step_edges, frontier, ["here"], hot_rows=hot_rows)
-            reached = reached.groupBy(F.col("there").alias("here")).agg(F.bit_or("seen").alias("seen"))
-            bits = {f"s{i}": F.sum(F.getbit("seen", F.lit(i)).cast("long")) for i in range(len(block))}
-            frontier, info = materialize(reached, **bits)
-            rows = info["rows"]
-            if rows == 0:
-                break
-            for i, s in enumerate(block):
-                counts[s] += info[f"s{i}"] or 0
-    return counts
+    parts = written(seeds.select("id").distinct().withColumn("part", F.spark_partition_id()), "seeds")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    numbered = written(parts.select("id", F.struct("part", F.floor(place / BITS).alias("n")).alias("block"),
+                                    (place % BITS).cast("int").alias("bit")), "seed-blocks")
+    table = Links(edges, reverse=True, hot_rows=hot_rows)
+    frontier = numbered.select("block", F.col("id").alias("here"), F.expr("shiftleft(1L, bit)").alias("seen"))
+    levels = []
+    for _ in range(max_depth):
+        reached = table.step(frontier).groupBy("block", F.col("there").alias("here")).agg(F.bit_or("seen").alias("seen"))
+        frontier, info = materialize(reached)
+        if info["rows"] == 0:
+            break
+        sums = frontier.groupBy("block").agg(F.array(*[
+            F.sum(F.getbit("seen", F.lit(i)).cast("long")) for i in range(BITS)]).alias("sums"))
+        levels.append(sums.select("block", F.posexplode("sums").alias("bit", "n")))
+    found = numbered
+    if levels:
+        total = reduce(DataFrame.unionByName, levels).groupBy("block", "bit").agg(F.sum("n").alias("n"))
+        found = numbered.join(total, ["block", "bit"], "left")
+    else:
+        found = numbered.withColumn("n", F.lit(None).cast("long"))
+    return found.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("transitive_count"))

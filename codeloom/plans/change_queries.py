@@ -268,26 +268,38 @@ def requeue_stats(spark, sf_dir):
 
 
 @query("tier_hint", with_docs("""
-SELECT recommended_model_tier, count(*) AS n FROM (
-  SELECT CASE WHEN length(summary) > 2000 OR kind IN ('class', 'interface') THEN 'strong' ELSE 'fast' END
-    AS recommended_model_tier FROM docs) GROUP BY 1"""))
+SELECT qualified_name, CASE WHEN (requeue_count + 1) / 5.0 >= 0.5 OR length(summary) > 2000 OR kind IN ('class', 'interface')
+  THEN 'strong' ELSE 'fast' END AS recommended_model_tier FROM docs"""))
 def tier_hint(spark, sf_dir):
-    tier = annotate.recommended_tier(F.col("kind"), F.col("summary"), F.lit(None).cast("double"))
-    return doc_nodes(spark, sf_dir).groupBy(tier.alias("recommended_model_tier")).agg(F.count(F.lit(1)).alias("n"))
+    """With a centrality that follows from a number of the document."""
+    props = F.from_json("properties", "requeue_count BIGINT")
+    tier = annotate.recommended_tier(F.col("kind"), F.col("summary"), (props["requeue_count"] + 1) / 5.0)
+    return doc_nodes(spark, sf_dir).select("qualified_name", tier.alias("recommended_model_tier"))
 
 
 @query("pending_queue", with_docs("""
-SELECT id, qualified_name, kind, CASE WHEN length(summary) > 2000 OR kind IN ('class', 'interface')
-  THEN 'strong' ELSE 'fast' END AS recommended_model_tier, md5(summary) AS source_md5
-FROM docs WHERE annotation_status IN ('pending', 'failed') ORDER BY id LIMIT 25"""))
+SELECT id, qualified_name, kind, CASE WHEN length(source) > 2000 OR kind IN ('class', 'interface')
+  THEN 'strong' ELSE 'fast' END AS recommended_model_tier, md5(source) AS source_md5
+FROM (SELECT *, array_to_string(list_slice(string_split(regexp_replace(summary, '\n$', ''), chr(10)), 1, 3), chr(10)) AS source FROM docs)
+WHERE annotation_status IN ('pending', 'failed') ORDER BY id LIMIT 125"""))
 def pending_queue(spark, sf_dir):
     docs = doc_nodes(spark, sf_dir)
     # Here every document is a file of its own.
     files = docs.select(F.col("qualified_name").alias("file_path"), F.col("summary").alias("content"))
-    nodes = docs.withColumn("file_path", F.col("qualified_name"))
-    queue = annotate.pending_queue(nodes, graph_edges(spark, sf_dir), files, batch_size=25, retry_failed=True)
-    text = files.select(F.col("file_path").alias("qualified_name"), F.md5("content").alias("source_md5"))
-    return queue.select("id", "qualified_name", "kind", "recommended_model_tier").join(text, "qualified_name")
+    nodes = docs.withColumn("file_path", F.col("qualified_name")).withColumns({"start_line": F.lit(1), "end_line": F.lit(3)})
+    queue = annotate.pending_queue(nodes, graph_edges(spark, sf_dir), files, batch_size=125, retry_failed=True)
+    return queue.select("id", "qualified_name", "kind", "recommended_model_tier", F.md5("source").alias("source_md5"))
+
+
+@query("queue_neighbors", with_graph("""
+, batch AS (SELECT id FROM nodes WHERE kind = 'enum' ORDER BY id LIMIT 150),
+far AS (SELECT source_id AS of_id, 'outgoing' AS direction, kind AS edge_kind, target_id AS other FROM edges
+  UNION ALL SELECT target_id, 'incoming', kind, source_id FROM edges)
+SELECT of_id, direction, edge_kind, n.kind, n.qualified_name FROM far JOIN batch b ON b.id = of_id JOIN nodes n ON n.id = other"""))
+def queue_neighbors(spark, sf_dir):
+    nodes, edges = graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)
+    pending = nodes.where("kind = 'enum'").withColumn("annotation_status", F.lit("pending"))
+    return annotate.queue_neighbors(nodes, edges, annotate.pending_nodes(pending, 150))
 
 
 # Tags of a document: its first words, its language and a few words with synonyms taken from its label.
@@ -315,15 +327,12 @@ def normalize_tags(spark, sf_dir):
 
 
 @query("name_variants", with_nodes(f"""
-SELECT DISTINCT name, {VARIANTS[0]} AS plain, {VARIANTS[1]} AS spaced, {VARIANTS[2]} AS camel
+SELECT DISTINCT name, array_to_string(list_sort(list_distinct([{VARIANTS[0]}, {VARIANTS[1]}, {VARIANTS[2]}])), '|') AS variants
 FROM (SELECT name FROM nodes UNION SELECT p_type FROM part)"""))
 def name_variants(spark, sf_dir):
     names = graph_nodes(spark, sf_dir).select("name").unionByName(
         table(spark, sf_dir, "part").select(F.col("p_type").alias("name"))).distinct()
-    plain, spaced = F.lower("name"), F.lower(annotate.strip(F.regexp_replace("name", r"[_\-]+", " ")))
-    found = names.withColumn("v", annotate.name_variants(F.col("name")))
-    camel = F.element_at("v", -1)
-    return found.select("name", plain.alias("plain"), spaced.alias("spaced"), camel.alias("camel"))
+    return names.select("name", F.array_join(F.array_sort(annotate.name_variants(F.col("name"))), "|").alias("variants"))
 
 
 RESULTS = """, results AS (
@@ -428,15 +437,22 @@ def upsert_nodes(spark, sf_dir):
 
 
 @query("upsert_edges", """
-SELECT l_orderkey AS source_id, l_partkey AS target_id, 'depends_on' AS kind,
-       arg_max(l_quantity, l_linenumber::BIGINT * 1000000000 + l_suppkey * 1000 + l_quantity) AS weight
-FROM lineitem GROUP BY l_orderkey, l_partkey""")
+WITH new AS (SELECT l_orderkey AS source_id, l_partkey AS target_id, 'depends_on' AS kind,
+    arg_max(l_quantity, l_linenumber::BIGINT * 1000000000 + l_suppkey * 1000 + l_quantity) AS weight
+  FROM lineitem WHERE l_linenumber < 4 GROUP BY l_orderkey, l_partkey),
+old AS (SELECT l_orderkey AS source_id, l_partkey AS target_id, 'depends_on' AS kind, min(l_discount) AS weight
+  FROM lineitem WHERE l_linenumber > 2 GROUP BY l_orderkey, l_partkey)
+SELECT source_id, target_id, kind, coalesce(new.weight, old.weight) AS weight
+FROM old FULL JOIN new USING (source_id, target_id, kind)""")
 def upsert_edges(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(
+    """Half of the incoming edges are stored already, with other weights."""
+    stored = table(spark, sf_dir, "lineitem").where("l_linenumber > 2").groupBy(
+        F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.lit("depends_on").alias("kind")).agg(
+        F.min("l_discount").alias("weight"))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber < 4").select(
         F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.lit("depends_on").alias("kind"),
         F.col("l_quantity").alias("weight"),
         (F.col("l_linenumber").cast("long") * F.lit(10**9) + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long")).alias("position"))
-    stored = lines.drop("position").where(F.lit(False))
     return merge.upsert_edges(stored, lines, position="position")
 
 
@@ -465,8 +481,11 @@ def delete_cascade(spark, sf_dir):
 
 @query("page_rows", with_nodes("SELECT id, qualified_name FROM nodes ORDER BY file_path, id LIMIT 50 OFFSET 100"))
 def page_rows(spark, sf_dir):
-    call = paging.query_hash("nodes", {})
-    rows, _ = paging.page(graph_nodes(spark, sf_dir), ["file_path", "id"], paging.encode_cursor(100, call), 50, call)
+    """The third page of 50, each page found by the key of the last row before it."""
+    mark, cursor = paging.call_mark("nodes"), None
+    nodes = graph_nodes(spark, sf_dir)
+    for _ in range(3):
+        rows, cursor = paging.page(nodes, ["file_path", "id"], cursor, 50, mark)
     return rows.select("id", "qualified_name")
 
 

@@ -142,7 +142,7 @@ def induced_subgraph(spark, sf_dir):
 
 SLICE = """chosen AS (
   SELECT * FROM nodes WHERE lower(file_path) LIKE 'catalog/brand#7/%' AND kind <> 'file'
-  ORDER BY file_path, id LIMIT 500)"""
+  ORDER BY file_path, id LIMIT 900)"""
 
 
 @query("graph_slice_nodes", with_nodes(f", {SLICE} SELECT id, qualified_name FROM chosen"))
@@ -159,6 +159,17 @@ def graph_slice_edges(spark, sf_dir):
     return lookup.graph_slice(nodes, graph_edges(spark, sf_dir), directory="catalog/Brand#7", limit=900)[1]
 
 
+@query("graph_slice_full", with_graph("""
+, chosen AS (SELECT id FROM nodes WHERE lower(file_path) LIKE 'orders/1995/%' AND kind <> 'file')
+SELECT * FROM edges WHERE source_id IN (SELECT id FROM chosen) AND target_id IN (SELECT id FROM chosen)
+UNION ALL SELECT id, id, 'node' FROM chosen"""))
+def graph_slice_full(spark, sf_dir):
+    """All nodes of a directory, each shown as a link to itself, and the edges among them."""
+    nodes = graph_nodes(spark, sf_dir).withColumn("start_line", F.lit(None).cast("int"))
+    chosen, edges = lookup.graph_slice(nodes, graph_edges(spark, sf_dir), directory="orders/1995", full=True)
+    return edges.unionByName(chosen.select(F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit("node").alias("kind")))
+
+
 DEGREES = """, deg_in AS (SELECT target_id AS id, count(*) AS c FROM edges GROUP BY 1),
 deg_out AS (SELECT source_id AS id, count(*) AS c FROM edges GROUP BY 1),
 ranked AS (SELECT n.*, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree
@@ -251,7 +262,10 @@ def dir_tree(spark, sf_dir):
   SELECT least(s.file_path, t.file_path) AS file_a, greatest(s.file_path, t.file_path) AS file_b, e.kind, count(*) AS n
   FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id
   WHERE s.file_path <> t.file_path GROUP BY ALL)
-SELECT file_a, file_b, CAST(sum(n) AS BIGINT) AS edge_count, (array_agg(kind ORDER BY n DESC, kind))[1] AS dominant_kind
+SELECT file_a, file_b, CAST(sum(n) AS BIGINT) AS edge_count, (array_agg(kind ORDER BY n DESC, kind))[1] AS dominant_kind,
+  string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds
 FROM k GROUP BY file_a, file_b"""))
 def edge_bundles(spark, sf_dir):
-    return rollup.edge_bundles(graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir))
+    found = rollup.edge_bundles(graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir))
+    told = F.transform(F.array_sort(F.map_entries("kinds")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.withColumn("kinds", F.array_join(told, ","))

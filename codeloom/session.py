@@ -34,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
-        if sc.master.startswith("local"):
-            named = tempfile.mkdtemp(prefix="codeloom-checkpoints-")
-        else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        # One machine shares its own folders; a cluster must name one that all its machines see.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="codeloom-checkpoints-")
     sc.setCheckpointDir(named)
     return named
 
@@ -66,3 +66,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt by a hash of ``columns`` into as many buckets as a shuffle has
+    partitions and sorted in each, so that joins on these columns never shuffle it again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"codeloom_{uuid.uuid4().hex}"
+    (df.repartition(n, *columns).write.format("parquet").bucketBy(n, *columns).sortBy(*columns)
+     .option("path", path).saveAsTable(table))
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files stay, and the frame knows how they lie
+    return found
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the checkpoints and helper tables of this session; frames that were made from them can't be read any more."""
+    folder = shared_dir(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

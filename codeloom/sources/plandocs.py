@@ -1,54 +1,19 @@
-"""Plan documents as a table: read, judge, change and write them."""
+"""Plans of work as a table: judge them, change their states, report on them."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from codeloom.functions.plan_text import LIST_KEYS, PLAN_STATUSES, TEXT_KEYS, UNIT_STATES, parse_plan, render_plan
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_UNIT = "STRUCT<id: INT, title: STRING, state: STRING, implemented_in: STRING, skipped_reason: STRING>"
-PLANS = ("path STRING, title STRING, type STRING, status STRING, date STRING, "
-         + ", ".join(f"{k} STRING" for k in TEXT_KEYS) + ", " + ", ".join(f"{k} ARRAY<STRING>" for k in LIST_KEYS)
-         + f", units ARRAY<{_UNIT}>, extra STRING, body STRING, error STRING")
-# Words of a file name that say nothing about a branch.
+# The states of plans and units, and words of a file name that say nothing about a branch.
+PLAN_STATUSES = ["draft", "active", "in_progress", "complete", "superseded", "abandoned"]
+UNIT_STATES = ["pending", "in_progress", "complete", "skipped"]
 BRANCH_STOPWORDS = ["feat", "fix", "refactor", "plan"]
 
-
-def plans_of(documents: DataFrame) -> DataFrame:
-    """Plan rows of ``documents(path, text)``; a document without a proper head has only ``path`` and ``error``."""
-    unit = pa.struct([("id", pa.int32())] + [(k, pa.string()) for k in ("title", "state", "implemented_in", "skipped_reason")])
-    kinds = {"units": pa.list_(unit)} | {k: pa.list_(pa.string()) for k in LIST_KEYS}
-    names = ["path", "title", "type", "status", "date", *TEXT_KEYS, *LIST_KEYS, "units", "extra", "body", "error"]
-    fields = [(n, kinds.get(n, pa.string())) for n in names]
-    parse = parse_plan
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(fields)
-        for batch in batches:
-            rows = []
-            for doc in batch.to_pylist():
-                try:
-                    rows.append(parse(doc["path"], doc["text"]))
-                except Exception as exc:  # noqa: BLE001 - one bad document must not stop the others
-                    rows.append({"path": doc["path"], "error": str(exc)})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return documents.select("path", "text").mapInArrow(run, PLANS)
-
-
-def read_plans(spark: SparkSession, folder: str) -> DataFrame:
-    """The plans in the Markdown files of a folder."""
-    texts = spark.read.text(f"{folder}/*.md", wholetext=True)
-    return plans_of(texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+#: A plan per row.
+PLANS = ("path STRING, title STRING, type STRING, status STRING, date STRING, implemented_in STRING, superseded_by STRING, "
+         "abandoned_reason STRING, "
+         "units ARRAY<STRUCT<id: INT, title: STRING, state: STRING, implemented_in: STRING, skipped_reason: STRING>>")
 
 
 def rollup(units: Column) -> Column:
@@ -82,7 +47,7 @@ def violations(plans: DataFrame) -> DataFrame:
         F.transform(twice, lambda i: F.concat(F.lit("duplicate unit id: "), i.cast("string"))),
         per_unit(lambda u: (u["state"] == "skipped") & (F.coalesce(u["skipped_reason"], F.lit("")) == ""),
                  ": state=skipped requires a reason"))
-    return plans.where(F.col("error").isNull()).select("path", F.explode(found).alias("message"))
+    return plans.select("path", F.explode(found).alias("message"))
 
 
 def _rolled(status: Column, units: Column) -> Column:
@@ -136,23 +101,10 @@ def report(plans: DataFrame, branch: str | None = None) -> DataFrame:
     words = F.filter(F.split(stem, "-"), lambda p: ~p.rlike("^[0-9]+$") & (F.length(p) > 2) & ~p.isin(*BRANCH_STOPWORDS))
     fits = F.exists(words, lambda p: F.contains(F.lit(branch), p)) if branch else F.lit(False)
     tally = [F.size(F.filter("units", _in_state(state))).alias(f"units_{state}") for state in UNIT_STATES]
-    return plans.where(F.col("error").isNull()).select(
+    return plans.select(
         "path", "title", "type", "status", "implemented_in", "superseded_by", "abandoned_reason",
         F.size("units").alias("units_total"), *tally, fits.alias("branch_match"))
 
 
 def _in_state(state: str):
     return lambda u: u["state"] == state
-
-
-def documents_of(plans: DataFrame) -> DataFrame:
-    """(path, text): plans as documents again."""
-    render = render_plan
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("text", pa.string())])
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"path": p["path"], "text": render(p)} for p in batch.to_pylist()], schema)
-
-    return plans.where(F.col("error").isNull()).mapInArrow(
-        run, T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())]))
