@@ -4,9 +4,10 @@ A text's words are names; a round replaces each run of equal names, and then eac
 the name's hash says which it is), by a name of its own: a hash of the round and the parts, so that all tasks of the corpus
 give equal sequences equal names without asking each other. A symbol also knows its context, the words that decide how it was
 formed. A window of ``length`` words decides all symbols whose context it contains, so equal windows hold the same such symbols,
-and each window takes one of them as its anchor: of the highest level it has, that with the smallest hash.
+and each window takes one of them as its anchor: of the highest level it has, the one of most words, and of those the
+one with the smallest hash.
 
-So a window can be repeated only if its anchor's name is shared. Spark counts the names of anchors (combined by task before
+So a window can be repeated only if its anchor's name is shared. Spark counts the names of anchors (combined by batch before
 they are shuffled) and sends the shared ones back to the batches of documents that have them. Neighbouring windows of one
 anchor form a segment; segments of equal name and equal windows verify each other at once, which settles the inside of long
 repeats. Where a name has several kinds of segments, each kind's windows are counted one by one, once per kind. Names and
@@ -27,7 +28,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +132,9 @@ class Batch:
             begin = np.cumsum(np.bincount(s.low + 1, minlength=n + 2))[at]  # symbols with low < at
             end = np.cumsum(np.bincount(s.high, minlength=n + 2))[at + length]  # symbols with high <= at + length
             has = end > begin
-            got = smallest(mixed(s.names + U(k)), begin[has], end[has])
+            # long symbols first: the more words a name stands for, the less it is shared by chance
+            span = np.minimum(s.last - s.first, 15).astype(np.uint64)
+            got = smallest((U(15) - span) << U(60) | mixed(s.names + U(k)) >> U(4), begin[has], end[has])
             anchor[open_[has]], name[open_[has]] = s.first[got], mixed(s.names[got] ^ U((k + 1) * 0x51ED270B7A93 + 1))
             open_ = open_[~has]
         self.one = windows(self.hashes, length, 0xC2B2AE3D27D4EB4F)[self.starts]
@@ -226,13 +229,14 @@ def repeats(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataF
                     [signed(b.names[first]), signed(b.kinds[first]), pa.array(np.full(len(first), number)),
                      pa.array(np.minimum(times, 2).astype(np.int32))], names=["name", "kind", "batch", "n"])
 
-    segments = written(per_batch(listing, n).mapInArrow(names_of, "name long, kind long, batch long, n int"), "repeat-segments")
-    shared = written(segments.groupBy("name").agg(F.sum("n").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
-                     .where("n > 1").select("name", (F.col("low") < F.col("high")).alias("several")), "repeat-names")
-    hits = written(segments.join(shared, "name"), "repeat-hits")
-    kinds = written(hits.groupBy("name", "kind").agg(F.sum("n").alias("total"), F.min("batch").alias("speaker")), "repeat-kinds")
-    told = hits.join(kinds, ["name", "kind"]).select(
-        "batch", "name", "kind", (F.col("total") > 1).alias("again"), (F.col("several") & (F.col("batch") == F.col("speaker"))).alias("speaks"))
+    # A batch has one row of a kind, whatever the kind's number of copies in it, so the rows of one name are far fewer than
+    # its occurrences; one shuffle by name serves the counts of names and of kinds.
+    segments = per_batch(listing, n).mapInArrow(names_of, "name long, kind long, batch long, n int")
+    by_name, by_kind = Window.partitionBy("name"), Window.partitionBy("name", "kind")
+    told = segments.select(
+        "*", F.sum("n").over(by_name).alias("of_name"), (F.min("kind").over(by_name) < F.max("kind").over(by_name)).alias("several"),
+        F.sum("n").over(by_kind).alias("of_kind"), F.min("batch").over(by_kind).alias("speaker")).where("of_name > 1").select(
+        "batch", "name", "kind", (F.col("of_kind") > 1).alias("again"), (F.col("several") & (F.col("batch") == F.col("speaker"))).alias("speaks"))
     told = written(told.where("again or speaks"), "repeat-told")
 
     def packed(rows: DataFrame, *fields: str) -> DataFrame:
@@ -257,9 +261,9 @@ def repeats(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataF
                     [signed(one[first]), signed(two[first]), pa.array(np.full(len(first), number)),
                      pa.array(np.minimum(times, 2).astype(np.int32))], names=["one", "two", "batch", "n"])
 
-    spoken = written(per_batch(asked, n).mapInArrow(windows_of, "one long, two long, batch long, n int"), "repeat-windows")
-    common = written(spoken.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1").select("one", "two"), "repeat-common")
-    heard = packed(spoken.join(common, ["one", "two"]), "one", "two")
+    spoken = per_batch(asked, n).mapInArrow(windows_of, "one long, two long, batch long, n int")
+    common = spoken.withColumn("total", F.sum("n").over(Window.partitionBy("one", "two"))).where("total > 1")
+    heard = packed(common, "one", "two")
     known = packed(told.where("again"), "name", "kind")
 
     def result(batches):
