@@ -157,7 +157,7 @@ class CodeGraph:
                cursor: str | None = None) -> dict[str, Any]:
         paging.check_shape(response_shape)
         call = paging.call_mark("search", query=str(query), kind=kind, response_shape=response_shape)
-        found = self.store.search(query, kind, limit=None)
+        found = self.store.search(query, kind, limit=None, with_centrality=True)
         rows, following = paging.page(found, ["rank", "qualified_name"], cursor, limit, call)
         return {"count": rows.count(), "results": lookup.shape(rows, response_shape), "next_cursor": following}
 

@@ -122,3 +122,14 @@ def test_resolution_order_and_hot_modules(spark):
     assert calls == want
     # Two definitions share a name: the later one is the node.
     assert {r["kind"] for r in resolve.build_nodes(recs).where("qualified_name = 'pkg.util::log'").collect()} == {"class"}
+
+
+def test_no_bound_on_imports_and_type_lists(spark):
+    many = ", ".join(f"n{i}" for i in range(1100))
+    union = " | ".join(f"'{i}'" for i in range(120))
+    text = f"import {{ {many} }} from './lib';\nconst go = <T extends {union}>(x: T) => run<{union}>(x);\n"
+    recs = records(spark, {"a.ts": text, "lib.ts": "export function n1() {}\n"}).collect()
+    imports = [r for r in recs if r["record"] == "import"]
+    assert len(imports) == 1 and len(imports[0]["names"]) == 1100
+    assert [r["name"] for r in recs if r["record"] == "definition" and r["file_path"] == "a.ts"] == ["go"]
+    assert "run" in {r["name"] for r in recs if r["record"] == "call"}

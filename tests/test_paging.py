@@ -1,45 +1,68 @@
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
+from codeloom.api import respond
+from codeloom.functions.text import compact_text
 from codeloom.operators import paging
-from codeloom.functions.text import compact_text, slugify
 
 
 def test_pages_follow_each_other(spark):
     df = spark.range(5)
-    call = paging.query_hash("t", {"a": 1})
-    one, cursor = paging.page(df, ["id"], None, 2, call)
-    two, cursor2 = paging.page(df, ["id"], cursor, 2, call)
-    three, end = paging.page(df, ["id"], cursor2, 2, call)
+    mark = paging.call_mark("t", a=1)
+    one, cursor = paging.page(df, ["id"], None, 2, mark)
+    two, cursor2 = paging.page(df, ["id"], cursor, 2, mark)
+    three, end = paging.page(df, ["id"], cursor2, 2, mark)
     assert [[r[0] for r in p.collect()] for p in (one, two, three)] == [[0, 1], [2, 3], [4]] and end is None
-    rest, end = paging.page(df, ["id"], cursor, None, call)
+    rest, end = paging.page(df, ["id"], cursor, None, mark)
     assert [r[0] for r in rest.collect()] == [2, 3, 4] and end is None
 
 
-@pytest.mark.parametrize("cursor", ["junk", "e30=", paging.encode_cursor(-1, "h"), paging.encode_cursor(0, "other")])
+def test_keys_with_nulls_and_both_directions(spark):
+    rows = [(s, n, i) for i, (s, n) in enumerate([(a, b) for a in (None, 0.5, 0.1) for b in (None, "x", "y")])]
+    df = spark.createDataFrame(rows, "score DOUBLE, name STRING, id INT")
+    order, cursor, seen = ["-score", "name", "id"], None, []
+    while True:
+        page, cursor = paging.page(df, order, cursor, 2, "0" * 16)
+        seen += [tuple(r) for r in page.collect()]
+        if cursor is None:
+            break
+    assert seen == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or "", r[2]))
+
+
+@pytest.mark.parametrize("cursor", ["", "junk", paging.write_cursor("f" * 16, [1]), "0" * 16 + "!!", paging.write_cursor("0" * 16, [1, 2])])
 def test_bad_cursors(cursor):
     with pytest.raises(paging.InvalidCursor):
-        paging.cursor_offset(cursor, "h")
+        paging.read_cursor(cursor, "0" * 16, 1)
 
 
 def test_budget():
-    payload = {"items": [{"text": "x" * 200} for _ in range(10)], "few": [1]}
-    out = paging.apply_budget(payload, 180)
+    result = {"items": [{"text": "x" * 200} for _ in range(10)], "few": [1]}
+    out = paging.fit(result, 180)
     assert paging.estimate_tokens(out) <= 180 and out["truncated_items"] == 10 - len(out["items"]) and out["few"] == [1]
-    assert out["budget_remaining"] == 180 - out["budget_used"] and len(payload["items"]) == 10
-    assert paging.apply_budget(payload, None) is payload
-    assert paging.apply_budget({"a": []}, 1)["truncated_items"] == 0
+    assert len(out["items"]) == 2  # a third would not fit
+    assert out["budget_remaining"] == 180 - out["budget_used"] and len(result["items"]) == 10
+    assert out["actual_chars"] == len(paging.as_text(out)) and json.loads(paging.as_text(out)) == out
+    assert paging.fit({"a": []}, 1)["truncated_items"] == 0
+    assert paging.fit({"a": list(range(50)), "n": 3}, 1) | {} == paging.fit({"a": list(range(50)), "n": 3}, 1)
 
 
-def test_budget_prefix_is_exact(spark):
-    df = spark.createDataFrame([(i, 10) for i in range(20)], "id INT, n INT")
-    from pyspark.sql import functions as F
+def test_rows_that_are_not_fetched_are_counted(spark):
+    out = respond({"rows": spark.range(100_000).orderBy("id")}, token_budget=50)
+    assert out["truncated_items"] == 100_000 - len(out["rows"]) and len(out["rows"]) > 0
+    assert [r["id"] for r in out["rows"]] == list(range(len(out["rows"])))
 
-    assert [r["id"] for r in paging.budget_prefix(df, ["id"], F.col("n"), 45).collect()] == [0, 1, 2, 3]
 
+def test_budget_prefix_is_exact(spark):
+    df = spark.createDataFrame([(i, 10) for i in range(20)], "id INT, n INT").repartition(5)
+    assert [r["id"] for r in paging.budget_prefix(df, ["id"], F.col("n"), 45).orderBy("id").collect()] == [0, 1, 2, 3]
+    small = spark.createDataFrame([(1, 0), (2, 0), (3, 5), (4, 1)], "id INT, n INT")
+    assert [(r["id"], r["used"]) for r in paging.budget_prefix(small, ["id"], F.col("n"), 5).orderBy("id").collect()] == [
+        (1, 0), (2, 0), (3, 5)]
+    assert paging.budget_prefix(small.limit(0), ["id"], F.col("n"), 5).count() == 0
 
-def test_text_functions(spark):
-    from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([("  a\n\tb  " + "c" * 200, "My Project!! 2"), ("x", "***")], "a STRING, b STRING")
-    rows = df.select(compact_text(F.col("a")), slugify(F.col("b"))).collect()
-    assert rows[0][0] == "a b " + "c" * 155 + "…" and rows[1][0] == "x" and [r[1] for r in rows] == ["my-project-2", "project"]
+def test_compact_text(spark):
+    df = spark.createDataFrame([("  a\n\tb  " + "c" * 200,), ("x",)], "a STRING")
+    assert [r[0] for r in df.select(compact_text(F.col("a"))).collect()] == ["a b " + "c" * 155 + "…", "x"]

@@ -1,63 +1,32 @@
-from codeloom.functions.plan_text import parse_plan, render_plan
 from codeloom.sources import plandocs
 
-DOC = """---
-title: A plan
-type: feat
-status: in_progress
-date: 2026-01-02
-owner: me
-units:
-  - id: 1
-    title: One
-    state: complete
-    implemented_in: abc
----
-# Head
 
-### Unit 1: First
+def plan(spark, status="active", units=(), **notes):
+    rows = [("d/2026-01-search-plan.md", "A plan", "feat", status, "", notes.get("implemented_in"), notes.get("superseded_by"),
+             notes.get("abandoned_reason"), list(units))]
+    return spark.createDataFrame(rows, plandocs.PLANS)
 
-**State:** complete — implemented in def (see x)
 
-```
-## U7 - not a unit
-**State:** skipped
-```
+UNITS = [(1, "One", "complete", "def", None), (2, "Two", "pending", None, None), (3, "Three", "skipped", None, "no need")]
 
-## U2 — Second
 
-Text.
-
-## U3 - Third
-
-**State:** skipped — no need
-"""
-
-
-def test_parse():
-    plan = parse_plan("d/p.md", DOC)
-    assert [(u["id"], u["title"], u["state"], u["implemented_in"], u["skipped_reason"]) for u in plan["units"]] == [
-        (1, "One", "complete", "def", None), (2, "Second", "pending", None, None), (3, "Third", "skipped", None, "no need")]
-    assert plan["date"] == "2026-01-02" and plan["extra"] == "owner: me\n"
-
-
-def test_render_is_stable():
-    text = render_plan(parse_plan("p.md", DOC))
-    assert render_plan(parse_plan("p.md", text)) == text
-    assert "## U2 — Second\n\n**State:** pending\n\nText." in text and "date: 2026-01-02\n" in text
-
-
-def test_table(spark):
-    docs = spark.createDataFrame([("d/2026-01-search-plan.md", DOC), ("d/bad.md", "no head")], "path STRING, text STRING")
-    plans = plandocs.plans_of(docs).persist()
-    assert plans.where("error IS NOT NULL").count() == 1
+def test_report_and_rules(spark):
+    plans = plan(spark, "in_progress", UNITS)
     row = plandocs.report(plans, "feature/search").first()
     assert (row["units_total"], row["units_complete"], row["units_skipped"], row["branch_match"]) == (3, 1, 1, True)
     assert plandocs.violations(plans).count() == 0
+    broken = plan(spark, "nonsense", [(1, "a", "odd", None, None), (1, "b", "skipped", None, "")])
+    assert sorted(r["message"] for r in plandocs.violations(broken).collect()) == [
+        "duplicate unit id: 1", "invalid plan status: nonsense", "plan status=nonsense disagrees with rollup=active",
+        "unit 1: invalid state", "unit 1: state=skipped requires a reason"]
+
+
+def test_changes_of_state(spark):
+    plans = plan(spark, "in_progress", UNITS)
     done = plandocs.set_unit_state(plans, 2, "complete", implemented_in="xyz")
-    assert done.where("error IS NULL").first()["status"] == "complete"
+    assert done.first()["status"] == "complete" and done.first()["units"][1]["implemented_in"] == "xyz"
     assert [r["message"] for r in plandocs.violations(done).collect()] == ["status=complete requires implemented_in"]
-    gone = plandocs.set_plan_status(plans, "superseded", superseded_by="q.md").where("error IS NULL").first()
+    gone = plandocs.set_plan_status(plans, "superseded", superseded_by="q.md").first()
     assert (gone["status"], gone["superseded_by"]) == ("superseded", "q.md")
-    texts = {r["path"]: r["text"] for r in plandocs.documents_of(done).collect()}
-    assert "**State:** complete — implemented in xyz" in texts["d/2026-01-search-plan.md"] and len(texts) == 1
+    whole = plandocs.set_plan_status(plans, "complete", implemented_in="c").first()
+    assert [u["state"] for u in whole["units"]] == ["complete", "complete", "skipped"]

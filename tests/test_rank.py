@@ -52,7 +52,7 @@ def test_no_nodes(spark, graph):
     assert rank.pagerank(nodes.where("false"), edges).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "hot_rows": 10}])
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 10}])
 def test_random_graph_against_loop(spark, options):
     rng = random.Random(3)
     kinds = [*EDGE_WEIGHTS, "other"]
@@ -83,3 +83,27 @@ def test_context_summary(graph):
     rows = rank.context_summary(nodes, rank.pagerank(nodes, edges), max_nodes=2)
     assert [r["name"] for r in rows.collect()] == ["H", "X"]
     assert rank.context_summary(nodes, rank.pagerank(nodes, edges), qualified_names=["mod.Y"]).select(F.col("name")).first()[0] == "Y"
+
+
+def test_a_round_does_not_shuffle_the_edges(spark, graph):
+    nodes, edges = graph("ABCD", [("A", "B", "calls"), ("B", "C", "calls"), ("D", "C", "calls"), ("A", "C", "imports")])
+    shares, state, hot = rank.edge_shares(nodes, edges)
+    ranks = state.select("id", "sink", F.lit(0.25).alias("rank"), F.lit(0.25).alias("prev"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rank.pagerank_round(shares, ranks, hot, 0.1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [x for x in plan.split("\n") if "share" in x and "FileScan" in x]
+    assert below and all("Bucketed: true" in x for x in below)
+    before_scan = plan.split("Bucketed: true")[0].split("SortMergeJoin")[-1]
+    assert "Exchange" not in before_scan.split("FileScan")[-1]
+
+
+def test_more_candidates_than_fifty(graph):
+    names = [f"n{i:03d}" for i in range(70)] + ["hub"]
+    nodes, edges = graph(names, [(n, "hub", "calls") for n in names[:70]] + [("hub", n, "calls") for n in names[60:70]])
+    every = rank.rank_by_transitive(nodes, edges, [f"mod.{n}" for n in names], limit=None)
+    assert every.count() == 71
+    assert rank.rank_by_transitive(nodes, edges, limit=None, candidates=None).count() == 71
+    assert rank.rank_by_transitive(nodes, edges, limit=100).count() == 50

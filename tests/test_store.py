@@ -1,12 +1,13 @@
 """The stored graph and the tools, end to end on a project on disk."""
 
 import os
+import re
 
 import pytest
 
 from codeloom.api import CodeGraph, respond
 from codeloom.operators import paging
-from codeloom.sources.tree import is_ignored, list_sources, source_tree
+from codeloom.sources.tree import ignore_expression, list_sources, source_tree
 from tests.test_code import EDGES, PROJECT
 
 
@@ -34,7 +35,9 @@ def test_tree_rules(spark, tmp_path):
     os.symlink(os.path.join(root, "a.py"), os.path.join(root, "link.py"))
     found = sorted(r[0] for r in list_sources(spark, root).collect())
     assert found == [".hidden.py", "a.py", "deep/er/k.tsx", "pkg/__init__.py"]
-    assert is_ignored("x/gen/y.py", ["gen/"]) and not is_ignored("x/gene.py", ["gen/"]) and is_ignored("a/b.log", ["*.log"])
+    for pattern, yes, no in [("gen/", "x/gen/y.py", "x/gene.py"), ("*.log", "a/b.log", "a/b.logs"), ("a[!b]c?", "q/azcd", "abcd"),
+                             ("src/*.py", "src/x/y.py", "b/src/a.py"), ("a.b+c(1)", "a.b+c(1)", "aXb+c(1)")]:
+        assert re.match(ignore_expression([pattern]), yes) and not re.match(ignore_expression([pattern]), no)
 
 
 def test_content_is_hashed_by_bytes(spark, tmp_path):
@@ -57,6 +60,8 @@ def test_index_and_lookups(project):
     assert rest["found"] == 1 and rest["next_cursor"] is None
     with pytest.raises(paging.InvalidCursor):
         graph.batch_query_nodes(["other"], cursor=batch["next_cursor"])
+    assert graph.call("batch_query_nodes", names=["other"], cursor=batch["next_cursor"])["code"] == "invalid_cursor"
+    assert "error" in graph.call("rank_nodes", algorithm="bogus") and "error" in graph.call("nothing")
     structure = respond(graph.get_file_structure("src/models/user.py", "compact"))
     assert len(structure["nodes"]) == 3
     with pytest.raises(ValueError):
@@ -138,6 +143,8 @@ def test_annotate_change_and_diff(spark, tmp_path):
     names = {r["id"]: r["qualified_name"] for r in fresh.store.nodes().collect()}
     assert edges == {(names[r["source_id"]], names[r["target_id"]], r["kind"]) for r in fresh.store.edges().collect()}
     assert ("main::main", "services.user_service::UserService", "calls") in edges
+    times = graph.store.nodes().selectExpr("count(created_at)", "count(updated_at)", "count(*)").first()
+    assert times[0] == times[1] == times[2]
     limited = respond(graph.graph_diff(file_paths=["src/extra.py"], include_edges=False))
     assert [n["name"] for n in limited["nodes_added"]] == ["extra.py"] and "edges_added" not in limited
     checked = respond(graph.validate_graph())
@@ -161,3 +168,77 @@ def test_memory(spark, tmp_path):
     text = "".join(open(os.path.join(two["exported_to"], p)).read() for p in parts)
     assert text == ("# Litter Box\n\n\n## failure\n\n- **Broke the build** -- on main _(agent: bot)_\n"
                     "\n## never-do\n\n- **Push to main**\n")
+
+
+def edges_by_name(store):
+    names = {r["id"]: r["qualified_name"] for r in store.nodes().collect()}
+    return {(names[r["source_id"]], names[r["target_id"]], r["kind"]) for r in store.edges().collect()}
+
+
+def nodes_by_name(store):
+    return {(r["qualified_name"], r["file_path"], r["kind"]) for r in store.nodes().collect()}
+
+
+@pytest.mark.parametrize(("before", "after"), [
+    # the second definition of a name goes, and the first comes back
+    ({"a/x.py": "def f():\n    pass\n", "src/a/x.py": "def f():\n    pass\n", "m.py": "from a.x import f\n\n\ndef g():\n    f()\n"},
+     {"a/x.py": "def f():\n    pass\n", "m.py": "from a.x import f\n\n\ndef g():\n    f()\n"}),
+    # a new file takes over a module
+    ({"a/x.py": "def f():\n    pass\n", "m.py": "from a.x import f\n\n\ndef g():\n    f()\n"},
+     {"a/x.py": "def f():\n    pass\n", "src/a/x.py": "def h():\n    pass\n", "m.py": "from a.x import f\n\n\ndef g():\n    f()\n"}),
+])
+def test_an_incremental_index_equals_a_full_one(spark, tmp_path, before, after):
+    root = str(tmp_path / "project")
+    write(root, before)
+    graph = CodeGraph(spark, root)
+    graph.index_codebase()
+    graph.submit_annotations([{"qualified_name": "m::g", "summary": "The g function calls f.", "tags": [], "role": "caller"}])
+    for path in before.keys() - after.keys():
+        os.remove(os.path.join(root, path))
+    write(root, {p: t for p, t in after.items() if p not in before})
+    graph.index_codebase()
+    fresh = CodeGraph(spark, root, storage_root=str(tmp_path / "other"))
+    fresh.index_codebase(full=True)
+    assert nodes_by_name(graph.store) == nodes_by_name(fresh.store)
+    assert edges_by_name(graph.store) == edges_by_name(fresh.store)
+    assert graph.store.nodes().where("qualified_name = 'm::g'").first()["annotation_status"] == "annotated"
+
+
+def test_annotations_write_only_the_parts_they_touch(spark, tmp_path):
+    root = str(tmp_path)
+    write(root, PROJECT)
+    graph = CodeGraph(spark, root)
+    graph.index_codebase()
+    one = graph.store._entry(1)
+    graph.submit_annotations([{"qualified_name": "models.user::User", "summary": "The user.", "tags": [], "role": ""}])
+    two = graph.store._entry(2)
+    assert (one["edges"], one["records"]) == (two["edges"], two["records"])
+    assert sum(one["nodes"][p] != two["nodes"][p] for p in one["nodes"]) == 1 and one["nodes"].keys() == two["nodes"].keys()
+    assert graph.store.nodes().count() == graph.store.nodes(1).count()
+
+
+def test_unknown_kinds_are_refused(spark, tmp_path):
+    store = CodeGraph(spark, str(tmp_path)).store
+    nodes = spark.createDataFrame([(1, "planet", "x", "x")], "id BIGINT, kind STRING, name STRING, qualified_name STRING")
+    with pytest.raises(ValueError):
+        store.commit(nodes)
+    with pytest.raises(ValueError):
+        store.commit(None, spark.createDataFrame([(1, 2, "hates")], "source_id BIGINT, target_id BIGINT, kind STRING"))
+    assert store.version() == 0 and store.search("anything").count() == 0
+
+
+def test_git_tells_what_changed(spark, tmp_path):
+    import subprocess
+
+    root = str(tmp_path)
+    write(root, {"a.py": "x = 1\n", "b.py": "y = 1\n"})
+    git = ["git", "-c", "user.email=a@b", "-c", "user.name=n", "-C", root]
+    for args in (["init", "-q"], ["add", "."], ["commit", "-qm", "one"]):
+        subprocess.run([*git, *args], check=True)
+    graph = CodeGraph(spark, root)
+    graph.index_codebase()
+    write(root, {"a.py": "def f():\n    pass\n", "c.py": "z = 1\n"})
+    os.remove(os.path.join(root, "b.py"))
+    out = graph.index_codebase()
+    assert (out["files_parsed"], out["files_deleted"]) == (2, 2)
+    assert nodes_by_name(graph.store) == {("file::a.py", "a.py", "file"), ("a::f", "a.py", "function"), ("file::c.py", "c.py", "file")}

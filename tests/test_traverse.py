@@ -31,8 +31,8 @@ def test_kinds_bounds_and_unknown_names(graph):
     assert pairs(traverse.dependencies(nodes, edges, "nobody")) == []
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_random_graph_against_recursive_union(spark, broadcast_rows):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_random_graph_against_recursive_union(spark, hot_rows):
     rng = random.Random(7)
     rows = [(rng.randrange(40), 0 if rng.random() < 0.3 else rng.randrange(40), rng.choice(["calls", "imports"]))
             for _ in range(120)]
@@ -47,7 +47,7 @@ def test_random_graph_against_recursive_union(spark, broadcast_rows):
             " select n, d from w", (seed,))}
     edges = spark.createDataFrame(rows, "source_id BIGINT, target_id BIGINT, kind STRING")
     got = traverse.closure(edges, spark.createDataFrame([(s,) for s in seeds], "seed_id BIGINT"), 6, reverse=True,
-                           broadcast_rows=broadcast_rows, hot_rows=5).collect()
+                           hot_rows=hot_rows).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
@@ -59,5 +59,20 @@ def test_counts_of_many_seeds_equal_the_closure(spark):
     frame = spark.createDataFrame([(s,) for s in seeds], "seed_id BIGINT")
     want = {s: 0 for s in seeds} | {r["seed_id"]: r["count"] for r in traverse.closure(
         edges, frame, 4, reverse=True).groupBy("seed_id").count().collect()}
-    assert traverse.dependent_counts(edges, seeds, 4) == want
-    assert traverse.dependent_counts(edges, seeds[:5], 4, broadcast_rows=0, hot_rows=3) == {s: want[s] for s in seeds[:5]}
+    ids = frame.withColumnRenamed("seed_id", "id")
+    assert dict(map(tuple, traverse.dependent_counts(edges, ids.repartition(1), 4).collect())) == want
+    some = traverse.dependent_counts(edges, ids.where("id < 5").repartition(3), 4, hot_rows=3)
+    assert dict(map(tuple, some.collect())) == {s: want[s] for s in range(5)}
+    assert traverse.dependent_counts(edges.limit(0), ids, 4).agg({"transitive_count": "sum"}).first()[0] == 0
+
+
+def test_a_step_does_not_shuffle_the_links(spark):
+    edges = spark.createDataFrame([(i, i + 1, "calls") for i in range(50)], "source_id BIGINT, target_id BIGINT, kind STRING")
+    table = traverse.Links(edges)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table.step(spark.range(5).withColumnRenamed("id", "here"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    links = plan[plan.index("SortMergeJoin"):]
+    assert "Bucketed: true" in links and links.count("Exchange hashpartitioning") == 1
