@@ -7,8 +7,9 @@ it, so that two documents agree in it with a probability of exactly their weight
 order of time and only up to the time by which the signature should be full; documents where it is not go on.
 
 The signature is banded; documents that share a band's bucket are candidates. Documents with equal shingles are one class, and
-only classes are compared. In each bucket the classes are first compared with the smallest; then, where a bucket still holds
-several groups, the classes of different groups with each other. A comparison takes the exact similarity of all shingles.
+only classes are compared. In each bucket the classes are first compared with one of them; where a bucket still holds several
+groups, with the most typical one; and where it still does, the classes of different groups with each other. Shingles that a class
+has alone bound its similarity to any other and rule out most of these pairs. A comparison takes the exact similarity of all shingles.
 Groups are the components of the pairs of at least ``LEAST``; one document of a group is kept, that with the smallest id.
 
 A text without words (null, empty, blank) is like no other, except that repeated rows of it are one document. A text of fewer
@@ -194,6 +195,35 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("u", "v", "ours", "theirs").mapInArrow(run, "u long, v long")
 
 
+def outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, alone) for ``nodes(node, centre)``: how many of a node's shingles no other of these nodes has.
+
+    A node sends the shingles that its centre does not have, and a centre, without its name, all of its own. A shingle that one
+    node alone has sent is in no other: another node would have sent it too, or its centre would have."""
+    def run(batches):
+        name, base = None, None
+        for batch in batches:
+            found, owner = [], []
+            for node, centre, ours, theirs in zip(*(batch.column(c).to_pylist() for c in ("node", "centre", "ours", "theirs")), strict=True):
+                if centre != name:
+                    name, base = centre, np.frombuffer(theirs, np.uint64)
+                own = np.frombuffer(ours, np.uint64)
+                if node != centre:
+                    own = own[base[np.minimum(np.searchsorted(base, own), len(base) - 1)] != own]
+                found.append(own)
+                owner.append(np.full(len(own), -1 if node == centre else node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))],
+                                                 names=["shingle", "node"])
+
+    centres = nodes.select(F.col("centre").alias("node"), "centre").distinct()
+    both = nodes.unionByName(centres).distinct().join(sets.select("node", F.col("members").alias("ours")), "node").join(
+        sets.select(F.col("node").alias("centre"), F.col("members").alias("theirs")), "centre")
+    sent = both.select("node", "centre", "ours", "theirs").mapInArrow(run, "shingle long, node long")
+    alone = sent.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last and node >= 0")
+    return nodes.select("node").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left").fillna(0, ["alone"])
+
+
 def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """A row for each distinct row of ``docs``: its row_key (a, b, c), doc_id, copies (rows of this key), group_id (the id of
     its group's kept document) and chosen (whether it is that document)."""
@@ -209,23 +239,46 @@ def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     shared = written(shared.select("bucket", F.col("least.node").alias("u"), F.col("least.weight").alias("w")), "bag-buckets")
     members = written(entries.join(shared, "bucket").select("bucket", "node", "weight", "u", "w"), "bag-members")
     near = F.least("weight", "w") >= least * F.greatest("weight", "w") - 1e-6
-    first = written(members.where((F.col("node") != F.col("u")) & near).select("u", F.col("node").alias("v")).distinct(), "bag-pairs")
+    tried = written(members.where((F.col("node") != F.col("u")) & near).select("u", F.col("node").alias("v")).distinct(), "bag-pairs")
     wanted = (members.select("node").distinct().join(classes.select("node", "rep.a", "rep.b", "rep.c"), "node"))
     sets = written(shingle_sets(docs, wanted), "bag-sets")
-    links = written(linked(first, sets, least), "bag-links")
-    named = components(links).withColumnRenamed("component", "root")
-    # buckets that still hold more than one group
-    rooted = members.select("bucket", "node", "weight").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted, "bag-rooted")
-    split = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                    .where("low < high").select("bucket"), "bag-split")
-    rest = written(rooted.join(split, "bucket"), "bag-rest")
-    other = rest.select("bucket", F.col("node").alias("v"), F.col("weight").alias("w"), F.col("root").alias("far"))
-    crossing = (rest.withColumnRenamed("node", "u").join(other, "bucket").where((F.col("root") < F.col("far")) & near)
-                .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-                .join(first, ["u", "v"], "left_anti"))
-    more = written(linked(crossing, sets, least), "bag-more-links")
-    final = components(links.unionByName(more)) if more.limit(1).count() else named.withColumnRenamed("root", "component")
+    links = written(linked(tried, sets, least), "bag-links")
+
+    def unsettled(links: DataFrame, members: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one group, with the group as root."""
+        named = components(links).withColumnRenamed("component", "root")
+        rooted = written(members.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bag-rooted")
+        split = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                        .where("low < high").select("bucket"), "bag-split")
+        return written(rooted.join(split, "bucket"), "bag-rest")
+
+    rest = unsettled(links, members.select("bucket", "node", "weight", "u"))
+    alone = written(outside(rest.groupBy("node").agg(F.min("u").alias("centre")), sets), "bag-alone")
+    rest = written(rest.join(alone, "node").drop("u"), "bag-rest")
+    # a pair that is similar enough has so many shingles in common; those that a node has alone can't be among them
+    common = least / (1 + least) * (F.col("weight") + F.col("w")) - 1e-6
+    able = near & (F.col("weight") - F.col("alone") >= common) & (F.col("w") - F.col("other_alone") >= common)
+
+    # again with one member of each bucket: that with the smallest share of shingles of its own
+    best = written(rest.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("weight")).alias("share"), "node", "weight", "alone", "root"))
+                                              .alias("best")), "bag-best")
+    best = best.select("bucket", F.col("best.node").alias("u"), F.col("best.weight").alias("w"), F.col("best.alone").alias("other_alone"),
+                       F.col("best.root").alias("far"))
+    ordered = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
+    second = written(rest.join(best, "bucket").where((F.col("root") != F.col("far")) & able).select(*ordered).distinct()
+                     .join(tried, ["u", "v"], "left_anti"), "bag-pairs")
+    links = links.unionByName(written(linked(second, sets, least), "bag-links"))
+    tried = tried.unionByName(second)
+
+    # and what is still apart, all with all
+    rest = unsettled(links, rest.select("bucket", "node", "weight", "alone"))
+    other = rest.select("bucket", F.col("node").alias("u"), F.col("weight").alias("w"), F.col("alone").alias("other_alone"),
+                        F.col("root").alias("far"))
+    third = written(rest.join(other, "bucket").where((F.col("root") < F.col("far")) & able).select(*ordered).distinct()
+                    .join(tried, ["u", "v"], "left_anti"), "bag-pairs")
+    links = links.unionByName(written(linked(third, sets, least), "bag-links"))
+
+    final = components(links)
     placed = classes.select("c1", "c2", "rep", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "bag-placed")
     best = placed.groupBy("component").agg(F.min("rep").alias("best"))

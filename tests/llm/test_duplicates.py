@@ -73,6 +73,26 @@ def test_groups_are_those_of_all_pairs(spark):
     assert sorted(r[0] for r in rows_of(bagminhash.labelled(docs).where("kept"), "doc_id")) == sorted({g for _, g in want})
 
 
+def test_a_family_about_the_threshold(spark):
+    """Copies with up to a quarter of their words changed: some are linked to many others, some to few, some to none."""
+    rng = random.Random(8)
+    base = sentence(rng, 120)
+    rows = []
+    for n in range(150):
+        text = list(base)
+        for i in rng.sample(range(120), rng.randrange(0, 9)):
+            text[i] = f"changed{rng.randrange(10**6)}"
+        rows.append((n, " ".join(text)))
+    groups, bags = Groups(range(150)), [bag(t) for _, t in rows]
+    for i in range(150):
+        for j in range(i):
+            if similarity(bags[i], bags[j]) >= 0.8:
+                groups.join(i, j)
+    want = [(i, groups.find(i)) for i in range(150)]
+    assert 5 < len({g for _, g in want}) < 140
+    assert rows_of(bagminhash.labelled(documents(spark, rows)), "doc_id", "group_id") == sorted(want, key=repr)
+
+
 def test_ids_may_be_missing_and_tables_empty(spark):
     text = " ".join(map(str, range(50)))
     docs = documents(spark, [(None, text), (5, text), (None, "other words here"), (None, "other words here")])
