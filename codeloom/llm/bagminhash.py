@@ -34,9 +34,9 @@ LEAST, SHINGLE = 0.8, 5
 #: A pair with similarity 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 32 = 6e-5.
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
-MOST_BYTES = 2 << 20
+MOST_BYTES = 1 << 19
 #: Points that a task makes at once.
-MOST_POINTS = 400_000
+MOST_POINTS = 150_000
 #: Points that a document makes, on average, before its signature is taken to be full (19 in 20 are).
 POINTS = SLOTS * (np.log(SLOTS) + 3)
 
