@@ -60,12 +60,14 @@ def materialize(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     return done, seen.get
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for frames that are read many times: a short plan,
-    columnar scans, and nothing to recompute when an executor is lost."""
+    columnar scans, and nothing to recompute when an executor is lost. ``by`` names a column of few values that readers
+    filter on; its values get folders of their own."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def bucketed(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
