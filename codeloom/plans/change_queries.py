@@ -477,6 +477,28 @@ def delete_cascade(spark, sf_dir):
     return _after_delete(spark, sf_dir)[1]
 
 
+@query("stored_hashes", with_docs("SELECT file_path, content_hash FROM docs WHERE kind = 'file' AND content_hash IS NOT NULL"))
+def stored_hashes(spark, sf_dir):
+    return diff.stored_hashes(doc_nodes(spark, sf_dir))
+
+
+@query("git_changes", """
+WITH old AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus <> 'P'), new AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 9 <> 4)
+SELECT 'c/' || coalesce(old.k, new.k) AS file_path,
+  CASE WHEN old.k IS NULL THEN 'new' WHEN new.k IS NULL THEN 'deleted' ELSE 'modified' END AS change_type
+FROM old FULL JOIN new ON old.k = new.k WHERE old.k IS NULL OR new.k IS NULL OR old.k IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def git_changes(spark, sf_dir):
+    """Stored and present files by the keys of customers; git's list are those with a debt."""
+    from codeloom.sources.tree import git_changes as changes
+
+    def files(df, key):
+        return df.select(F.concat(F.lit("c/"), F.col(key).cast("string")).alias("file_path")).distinct()
+
+    customer = table(spark, sf_dir, "customer")
+    return changes(files(table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), "o_custkey"),
+                   files(customer.where("c_custkey % 9 <> 4"), "c_custkey"), files(customer.where("c_acctbal < 0"), "c_custkey"))
+
+
 # ---- pages and budgets ------------------------------------------------------------------------------------------
 
 @query("page_rows", with_nodes("SELECT id, qualified_name FROM nodes ORDER BY file_path, id LIMIT 50 OFFSET 100"))

@@ -96,6 +96,23 @@ def node_standard(spark, sf_dir):
         "annotation_status", F.array_join("tags", ",").alias("tags"), "role")
 
 
+@query("node_full", with_docs("""
+SELECT id, qualified_name, json_extract_string(properties, '$.role') AS role, properties, content_hash FROM docs"""))
+def node_full(spark, sf_dir):
+    rows = lookup.shape(doc_nodes(spark, sf_dir), "full")
+    return rows.select("id", "qualified_name", "role", "properties", "content_hash")
+
+
+@query("group_by_file", with_nodes("""
+, page AS (SELECT * FROM nodes WHERE kind = 'interface' ORDER BY qualified_name LIMIT 200)
+SELECT file_path, string_agg(qualified_name, ',' ORDER BY qualified_name) AS names FROM page GROUP BY file_path"""))
+def group_by_file(spark, sf_dir):
+    """A page of nodes by file."""
+    page = lookup.find_nodes(graph_nodes(spark, sf_dir), kind="interface").orderBy("qualified_name").limit(200)
+    found = rollup.group_by_file(page, ["qualified_name"])
+    return found.select("file_path", F.array_join(F.array_sort(F.transform("entries", lambda e: e["qualified_name"])), ",").alias("names"))
+
+
 @query("json_props", """
 SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events""")
 def json_props(spark, sf_dir):

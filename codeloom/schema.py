@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The columns of the three tables.
 NODES = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("kind", T.StringType()),
