@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import by_text, fresh, row_key
+from codeloom.llm.common import by_text, fresh, row_key, small_batches
 from codeloom.llm.components import components
 from codeloom.llm.words import U, mixed, shingles
 from codeloom.session import written
@@ -225,6 +225,12 @@ def outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``_groups``, with small batches for the jobs that run on the way."""
+    with small_batches(docs.sparkSession):
+        return _groups(docs, least)
+
+
+def _groups(docs: DataFrame, least: float) -> DataFrame:
     """A row for each distinct row of ``docs``: its row_key (a, b, c), doc_id, copies (rows of this key), group_id (the id of
     its group's kept document) and chosen (whether it is that document)."""
     rows = written(signed(docs), "bag-signatures")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,3 +59,16 @@ def file_system(path: str):
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Within it, tasks get their rows from Spark in Arrow batches of at most this size, for rows that carry whole texts or
+    sets: a task holds a batch several times over. It is for jobs that run at once, such as writing a table."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
