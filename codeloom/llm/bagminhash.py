@@ -310,3 +310,19 @@ def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
         keyed = keyed.withColumn(name, column)
     kept = groups(docs, least).where("chosen").select(*(F.col(o).alias(n) for o, n in zip("abc", names, strict=True)))
     return keyed.join(kept, names).dropDuplicates(names).select(*docs.columns)
+
+
+#: All pairs, for small tables; the ids of documents must tell them apart.
+SQL = r"""
+with recursive w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as (select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as j from w),
+wide as (select doc_id, n, j, array_to_string(list(word) over (partition by doc_id order by j rows between current row and 4 following), ' ') as s
+  from words),
+bag as materialized (select doc_id, hash(s) as s, count(*) as c from wide where j <= n - 4 or j = 1 group by all),
+size as materialized (select doc_id, sum(c) as n from bag group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as i from bag a join bag b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as materialized (select a, b from common join size x on x.doc_id = a join size y on y.doc_id = b where i >= 0.8 * (x.n + y.n - i)),
+both_ways as (select a, b from link union all select b, a from link),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join both_ways l on l.a = r.b)
+select a as doc_id, min(b) as group_id, min(b) = a as kept from reach group by a
+"""

@@ -113,7 +113,13 @@ def op9_bagminhash(spark, sf_dir):
     return bagminhash.labelled(table(spark, sf_dir, "documents"))
 
 
+SQL["op9_bagminhash"] = bagminhash.SQL
+
+
 @query
 def op8_substring_dedup(spark, sf_dir):
     """How many words every document loses to repeated windows, and the digest of what is kept."""
     return recompression.digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op8_substring_dedup"] = recompression.SQL

@@ -326,3 +326,17 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
     return repeats(docs, length, finish, schema)
+
+
+SQL = r"""
+with w as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as materialized (select r, unnest(ws) as word, generate_subscripts(ws, 1) as j from w),
+wide as (select r, j, list(word) over (partition by r order by j rows between current row and 34 following) as l from words),
+h as materialized (select r, j, md5(array_to_string(l, ' ')) as k from wide where len(l) = 35),
+again as (select k from h group by k having count(*) > 1),
+gone as materialized (select distinct r, unnest(range(j, j + 35)) as j from h where k in (select k from again)),
+kept as (select a.r, count(b.j) as n_removed, string_agg(a.word, ' ' order by a.j) filter (b.j is null) as s
+  from words a left join gone b on a.r = b.r and a.j = b.j group by a.r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from w left join kept using (r)
+"""
