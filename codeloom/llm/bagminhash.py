@@ -196,7 +196,8 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, alone) for ``nodes(node, centre)``: how many of a node's shingles no other of these nodes has.
+    """(node, centre, apart, alone) for ``nodes(node, centre)``: how many of a node's shingles its centre does not have, and how many no
+    other of these nodes has.
 
     A node sends the shingles that its centre does not have, and a centre, without its name, all of its own. A shingle that one
     node alone has sent is in no other: another node would have sent it too, or its centre would have."""
@@ -219,9 +220,10 @@ def outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     centres = nodes.select(F.col("centre").alias("node"), "centre").distinct()
     both = nodes.unionByName(centres).distinct().join(sets.select("node", F.col("members").alias("ours")), "node").join(
         sets.select(F.col("node").alias("centre"), F.col("members").alias("theirs")), "centre")
-    sent = both.select("node", "centre", "ours", "theirs").mapInArrow(run, "shingle long, node long")
+    sent = written(both.select("node", "centre", "ours", "theirs").mapInArrow(run, "shingle long, node long"), "bag-sent")
     alone = sent.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last and node >= 0")
-    return nodes.select("node").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left").fillna(0, ["alone"])
+    counts = [sent.groupBy("node").agg(F.count(F.lit(1)).alias("apart")), alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))]
+    return nodes.join(counts[0], "node", "left").join(counts[1], "node", "left").fillna(0, ["apart", "alone"])
 
 
 def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -237,12 +239,13 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
     # node: written once, so that the numbers stay
     classes = written(rows.groupBy("c1", "c2").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "b", "a", "c")).alias("rep"),
-        F.first("weight").alias("weight"), F.first("buckets").alias("buckets"))
+        F.first("weight").alias("weight"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("rows"))
         .withColumn("node", F.monotonically_increasing_id()), "bag-classes")
-    entries = classes.where("weight > 0").select("node", "weight", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = classes.where("weight > 0").select("node", "weight", "rows", F.explode("buckets").alias("bucket"))
+    # a bucket's centre is the class of most copies, as it is the likeliest origin of the others
+    shared = entries.groupBy("bucket").agg(F.max(F.struct("rows", "node", "weight")).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # written, so that the joins on buckets have plain exchanges and split very full ones
-    shared = written(shared.select("bucket", F.col("least.node").alias("u"), F.col("least.weight").alias("w")), "bag-buckets")
+    shared = written(shared.select("bucket", F.col("centre.node").alias("u"), F.col("centre.weight").alias("w")), "bag-buckets")
     members = written(entries.join(shared, "bucket").select("bucket", "node", "weight", "u", "w"), "bag-members")
     near = F.least("weight", "w") >= least * F.greatest("weight", "w") - 1e-6
     tried = written(members.where((F.col("node") != F.col("u")) & near).select("u", F.col("node").alias("v")).distinct(), "bag-pairs")
@@ -250,41 +253,70 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
     sets = written(shingle_sets(docs, wanted), "bag-sets")
     links = written(linked(tried, sets, least), "bag-links")
 
-    def unsettled(links: DataFrame, members: DataFrame) -> DataFrame:
+    named = written(components(links).withColumnRenamed("component", "root"), "bag-named")
+
+    def merged(named: DataFrame, more: DataFrame) -> DataFrame:
+        """The groups with further links: only the groups that these touch are looked at."""
+        roots = [named.withColumnsRenamed({"node": c, "root": f"root_{c}"}) for c in "uv"]
+        ends = more.join(roots[0], "u", "left").join(roots[1], "v", "left").select(
+            F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+        onto = written(components(written(ends.distinct(), "bag-joined")), "bag-onto")
+        new = onto.withColumnsRenamed({"node": "root", "component": "further"})
+        moved = named.join(new, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+        # nodes that had no link before
+        first = onto.join(named, "node", "left_anti").select("node", F.col("component").alias("root"))
+        return written(moved.unionByName(first), "bag-named")
+
+    def unsettled(named: DataFrame, members: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one group, with the group as root."""
-        named = components(links).withColumnRenamed("component", "root")
         rooted = written(members.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bag-rooted")
         split = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
                         .where("low < high").select("bucket"), "bag-split")
         return written(rooted.join(split, "bucket"), "bag-rest")
 
-    rest = unsettled(links, members.select("bucket", "node", "weight", "u"))
-    alone = written(outside(rest.groupBy("node").agg(F.min("u").alias("centre")), sets), "bag-alone")
-    rest = written(rest.join(alone, "node").drop("u"), "bag-rest")
+    rest = unsettled(named, members.select("bucket", "node", "weight", "u"))
+    centred = rest.groupBy("node").agg(F.min("u").alias("centre"))
+    centres = centred.select(F.col("centre").alias("node"), F.lit(True).alias("was_centre")).distinct()
+    alone = written(outside(centred, sets).join(centres, "node", "left").fillna(False, ["was_centre"]), "bag-alone")
+    rest = written(rest.join(alone.drop("centre", "apart"), "node").drop("u"), "bag-rest")
     # a pair that is similar enough has so many shingles in common; those that a node has alone can't be among them
     common = least / (1 + least) * (F.col("weight") + F.col("w")) - 1e-6
     able = near & (F.col("weight") - F.col("alone") >= common) & (F.col("w") - F.col("other_alone") >= common)
 
-    # again with one member of each bucket: that with the smallest share of shingles of its own
-    best = written(rest.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("weight")).alias("share"), "node", "weight", "alone", "root"))
-                                              .alias("best")), "bag-best")
+    # again with one member of each bucket, not the one of before: that with the smallest share of shingles of its own
+    best = written(rest.groupBy("bucket").agg(F.min(F.struct(
+        "was_centre", (F.col("alone") / F.col("weight")).alias("share"), "node", "weight", "alone", "root")).alias("best")), "bag-best")
+    typical = best.select("bucket", "best")
     best = best.select("bucket", F.col("best.node").alias("u"), F.col("best.weight").alias("w"), F.col("best.alone").alias("other_alone"),
                        F.col("best.root").alias("far"))
     ordered = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
     second = written(rest.join(best, "bucket").where((F.col("root") != F.col("far")) & able).select(*ordered).distinct()
                      .join(tried, ["u", "v"], "left_anti"), "bag-pairs")
-    links = links.unionByName(written(linked(second, sets, least), "bag-links"))
     tried = tried.unionByName(second)
-
-    # and what is still apart, all with all
-    rest = unsettled(links, rest.select("bucket", "node", "weight", "alone"))
+    found = written(linked(second, sets, least), "bag-links")
+    if found.limit(1).count():
+        named = merged(named, found)
+
+    # and what is still apart, all with all; the typical members, now the centres, show better what each has alone
+    rest = unsettled(named, rest.select("bucket", "node", "weight"))
+    centred = rest.join(typical, "bucket").groupBy("node").agg(F.min("best").alias("best")).select("node", F.col("best.node").alias("centre"))
+    rest = written(rest.join(written(outside(centred, sets), "bag-alone"), "node").join(
+        classes.select("node", F.col("buckets").alias("bands")), "node"), "bag-rest")
     other = rest.select("bucket", F.col("node").alias("u"), F.col("weight").alias("w"), F.col("alone").alias("other_alone"),
-                        F.col("root").alias("far"))
+                        F.col("root").alias("far"), F.col("centre").alias("other_centre"), F.col("apart").alias("other_apart"), F.col("bands").alias("other_bands"))
+    # with one centre, two nodes can share what both have of it, and what both have apart from it and not alone
+    shared = F.least(F.col("weight") - F.col("apart"), F.col("w") - F.col("other_apart")) + F.least(
+        F.col("apart") - F.col("alone"), F.col("other_apart") - F.col("other_alone"))
+    # and two nodes meet in the first of the buckets that they share
+    meets = F.element_at("bands", F.array_position(F.zip_with("bands", "other_bands", lambda a, b: a == b), True).cast("int")) == F.col("bucket")
+    able = able & meets & ((F.col("centre") != F.col("other_centre")) | (shared >= common))
     third = written(rest.join(other, "bucket").where((F.col("root") < F.col("far")) & able).select(*ordered).distinct()
                     .join(tried, ["u", "v"], "left_anti"), "bag-pairs")
-    links = links.unionByName(written(linked(third, sets, least), "bag-links"))
+    found = written(linked(third, sets, least), "bag-links")
+    if found.limit(1).count():
+        named = merged(named, found)
 
-    final = components(links)
+    final = named.withColumnRenamed("root", "component")
     placed = classes.select("c1", "c2", "rep", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "bag-placed")
     best = placed.groupBy("component").agg(F.min("rep").alias("best"))

@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(v.alias("u"), u.alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.join(least, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        return both.join(least, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v")
 
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e, before = materialize(e, **same)
     while before["rows"]:
         e, now = materialize(small_star(large_star(e)), **same)
