@@ -7,9 +7,10 @@ it, so that two documents agree in it with a probability of exactly their weight
 order of time and only up to the time by which the signature should be full; documents where it is not go on.
 
 The signature is banded; documents that share a band's bucket are candidates. Documents with equal shingles are one class, and
-only classes are compared. In each bucket the classes are first compared with one of them; where a bucket still holds several
-groups, with the most typical one; and where it still does, the classes of different groups with each other. Shingles that a class
-has alone bound its similarity to any other and rule out most of these pairs. A comparison takes the exact similarity of all shingles.
+only classes are compared. In each bucket the classes are first compared with that of most copies; where a bucket still holds
+several groups, the classes of different groups are compared with each other. Shingles that a class has alone, or apart from the
+typical class of its bucket, bound its similarity to others and rule out most of these pairs. A comparison takes the exact
+similarity of all shingles.
 Groups are the components of the pairs of at least ``LEAST``; one document of a group is kept, that with the smallest id.
 
 A text without words (null, empty, blank) is like no other, except that repeated rows of it are one document. A text of fewer
@@ -267,41 +268,27 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
         first = onto.join(named, "node", "left_anti").select("node", F.col("component").alias("root"))
         return written(moved.unionByName(first), "bag-named")
 
-    def unsettled(named: DataFrame, members: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one group, with the group as root."""
-        rooted = written(members.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bag-rooted")
-        split = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                        .where("low < high").select("bucket"), "bag-split")
-        return written(rooted.join(split, "bucket"), "bag-rest")
-
-    rest = unsettled(named, members.select("bucket", "node", "weight", "u"))
+    # the members of buckets that hold more than one group, with the group as root
+    rooted = written(members.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bag-rooted")
+    split = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                    .where("low < high").select("bucket"), "bag-split")
+    rest = written(rooted.join(split, "bucket").select("bucket", "node", "weight", "u", "root"), "bag-rest")
     centred = rest.groupBy("node").agg(F.min("u").alias("centre"))
     centres = centred.select(F.col("centre").alias("node"), F.lit(True).alias("was_centre")).distinct()
     alone = written(outside(centred, sets).join(centres, "node", "left").fillna(False, ["was_centre"]), "bag-alone")
     rest = written(rest.join(alone.drop("centre", "apart"), "node").drop("u"), "bag-rest")
-    # a pair that is similar enough has so many shingles in common; those that a node has alone can't be among them
-    common = least / (1 + least) * (F.col("weight") + F.col("w")) - 1e-6
-    able = near & (F.col("weight") - F.col("alone") >= common) & (F.col("w") - F.col("other_alone") >= common)
-
-    # again with one member of each bucket, not the one of before: that with the smallest share of shingles of its own
-    best = written(rest.groupBy("bucket").agg(F.min(F.struct(
-        "was_centre", (F.col("alone") / F.col("weight")).alias("share"), "node", "weight", "alone", "root")).alias("best")), "bag-best")
-    typical = best.select("bucket", "best")
-    best = best.select("bucket", F.col("best.node").alias("u"), F.col("best.weight").alias("w"), F.col("best.alone").alias("other_alone"),
-                       F.col("best.root").alias("far"))
-    ordered = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
-    second = written(rest.join(best, "bucket").where((F.col("root") != F.col("far")) & able).select(*ordered).distinct()
-                     .join(tried, ["u", "v"], "left_anti"), "bag-pairs")
-    tried = tried.unionByName(second)
-    found = written(linked(second, sets, least), "bag-links")
-    if found.limit(1).count():
-        named = merged(named, found)
-
-    # and what is still apart, all with all; the typical members, now the centres, show better what each has alone
-    rest = unsettled(named, rest.select("bucket", "node", "weight"))
+    # each bucket's most typical member, not the centre of before: that with the smallest share of shingles of its own. With
+    # these as centres it shows what each text has alone, those that were centres included
+    typical = written(rest.groupBy("bucket").agg(F.min(F.struct(
+        "was_centre", (F.col("alone") / F.col("weight")).alias("share"), "node")).alias("best")), "bag-typical")
     centred = rest.join(typical, "bucket").groupBy("node").agg(F.min("best").alias("best")).select("node", F.col("best.node").alias("centre"))
-    rest = written(rest.join(written(outside(centred, sets), "bag-alone"), "node").join(
+    rest = written(rest.select("bucket", "node", "weight", "root").join(written(outside(centred, sets), "bag-alone"), "node").join(
         classes.select("node", F.col("buckets").alias("bands")), "node"), "bag-rest")
+
+    # what is still apart, all with all. A pair that is similar enough has so many shingles in common; those that a text has
+    # alone can't be among them
+    common = least / (1 + least) * (F.col("weight") + F.col("w")) - 1e-6
+    able = near & (F.col("weight") - F.col("alone") >= common) & (F.col("w") - F.col("other_alone") >= common)
     other = rest.select("bucket", F.col("node").alias("u"), F.col("weight").alias("w"), F.col("alone").alias("other_alone"),
                         F.col("root").alias("far"), F.col("centre").alias("other_centre"), F.col("apart").alias("other_apart"), F.col("bands").alias("other_bands"))
     # with one centre, two nodes can share what both have of it, and what both have apart from it and not alone
@@ -310,9 +297,10 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
     # and two nodes meet in the first of the buckets that they share
     meets = F.element_at("bands", F.array_position(F.zip_with("bands", "other_bands", lambda a, b: a == b), True).cast("int")) == F.col("bucket")
     able = able & meets & ((F.col("centre") != F.col("other_centre")) | (shared >= common))
-    third = written(rest.join(other, "bucket").where((F.col("root") < F.col("far")) & able).select(*ordered).distinct()
+    ordered = [F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")]
+    crossing = written(rest.join(other, "bucket").where((F.col("root") < F.col("far")) & able).select(*ordered).distinct()
                     .join(tried, ["u", "v"], "left_anti"), "bag-pairs")
-    found = written(linked(third, sets, least), "bag-links")
+    found = written(linked(crossing, sets, least), "bag-links")
     if found.limit(1).count():
         named = merged(named, found)
 
