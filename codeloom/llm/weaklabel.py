@@ -131,6 +131,8 @@ def bad_chance(counts: dict[int, int]) -> dict[int, float]:
     """Expectation-maximisation: for each kind of votes, the probability of being bad.
 
     It begins with the belief that an accusation is rarely wrong: kinds with a bad vote are bad with 0.9, others with 0.1."""
+    if not counts:
+        return {}
     kinds = sorted(counts)
     n = np.array([counts[k] for k in kinds], float)
     votes = np.array([[k // 3 ** j % 3 for j in range(len(LABELLERS))] for k in kinds]).reshape(-1, len(LABELLERS))
