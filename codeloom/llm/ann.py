@@ -3,8 +3,14 @@
 Vectors lie in shards of about ``SHARD`` rows. A shard's index is one sorted array per random projection. A query widens a
 window around its own projection in every array at once (virtual rehashing: the same arrays serve every radius), counts for
 each vector the windows it is in, and verifies those that are in at least ``ENOUGH`` of the ``PROJECTIONS`` windows. It stops
-at a radius within which ``k`` verified vectors lie; a last window over everything ends searches in small or odd shards
-exactly. Inner products become distances by one further coordinate that lifts all vectors of a shard to one length.
+one growth beyond a radius within which ``k`` verified vectors lie, so that a true neighbour is in enough windows with a
+probability of at least 0.96, whatever the distances; a last window over everything ends searches in small or odd shards
+exactly. Inner products become distances by one further coordinate that lifts all vectors of an index to one length.
+
+A shard has one index for each range of lengths, longest first, so that a few long vectors do not lift all others: within an
+index the longest is at most ``SPREAD`` times the shortest. Fewer than ``FEW`` vectors of a range go, with the next shorter
+ones, into a part that is searched exactly. A part is left out for a query only if its longest vector cannot reach the
+query's k-th product.
 
 Every query meets every shard, in blocks: a task has one shard and at most ``QUERIES`` queries; the shards' best are merged.
 Vectors that are null, empty or zero, or hold null, NaN or infinite components take no part, nor do rows without an id.
@@ -23,6 +29,8 @@ SHARD, QUERIES = 8192, 16384
 PROJECTIONS, ENOUGH = 40, 25
 #: Growth of the radius from round to round, and rounds before the window over everything.
 GROWTH, ROUNDS = 1.12, 8
+#: Longest to shortest vector of an index, and vectors that are searched without one.
+SPREAD, FEW = 1.25, 64
 
 
 def sound(vector: Column) -> Column:
@@ -46,10 +54,11 @@ def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The sorted projections of one shard."""
+    """The sorted projections of the vectors of one range of lengths; ``few`` vectors are all verified."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, few: bool = False):
         self.ids, self.vectors = ids, vectors
+        self.rounds = 0 if few else ROUNDS
         n, dims = vectors.shape
         squares = (vectors ** 2).sum(axis=1)
         self.length = np.sqrt(squares.max())
@@ -67,7 +76,7 @@ class Index:
         centre = aimed @ self.lines
         # begin just below the smallest distance to a few of the shard's vectors
         near = ((self.some ** 2).sum(axis=1) - 2 * aimed @ self.some.T).min(axis=1) + (aimed ** 2).sum(axis=1)
-        radius = np.sqrt(np.maximum(near, 1e-12))[:, None] * 0.9 * GROWTH ** np.arange(ROUNDS)
+        radius = np.sqrt(np.maximum(near, 1e-12))[:, None] * 0.9 * GROWTH ** np.arange(self.rounds)
         low = np.empty((PROJECTIONS, *radius.shape), np.int64)
         high = np.empty_like(low)
         for i in range(PROJECTIONS):
@@ -78,8 +87,8 @@ class Index:
             waiting = self.ids != query_ids[q]
             places, gaps = np.empty(0, np.int64), np.empty(0)
             before = None
-            for r in range(ROUNDS + 1):
-                if r == ROUNDS:
+            for r in range(self.rounds + 1):
+                if r == self.rounds:
                     fresh = np.flatnonzero(waiting)
                 else:
                     a, b = low[:, q, r].tolist(), high[:, q, r].tolist()
@@ -95,7 +104,7 @@ class Index:
                     waiting[fresh] = False
                     places = np.concatenate([places, fresh])
                     gaps = np.concatenate([gaps, 2 * self.length ** 2 - 2 * (self.vectors[fresh] @ aimed[q, :-1])])
-                if r < ROUNDS and len(gaps) >= k and np.partition(gaps, k - 1)[k - 1] <= radius[q, r] ** 2:
+                if r < self.rounds and len(gaps) >= k and np.partition(gaps, k - 1)[k - 1] <= (radius[q, r] / GROWTH) ** 2:
                     break
             if len(gaps) > k:  # the order is decided by the products below
                 places = places[gaps <= np.partition(gaps, k - 1)[k - 1] * (1 + 1e-9) + 1e-12]
@@ -104,6 +113,38 @@ class Index:
             yield places[best], product[best]
 
 
+class Shard:
+    """The vectors of one shard, an index for each range of lengths."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        lengths = np.sqrt((vectors ** 2).sum(axis=1))
+        order = np.argsort(-lengths, kind="stable")
+        self.ids, vectors, lengths = ids[order], vectors[order], lengths[order]
+        self.parts, start = [], 0
+        while start < len(ids):
+            end = int(np.searchsorted(-lengths, -lengths[start] / SPREAD, side="right"))
+            few = end - start < FEW
+            if few:
+                end = min(start + FEW, len(ids))
+            self.parts.append((start, lengths[start], Index(self.ids[start:end], vectors[start:end], few)))
+            start = end
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        """For each query, (places of its k nearest, their products), nearest first."""
+        lengths = np.sqrt((queries ** 2).sum(axis=1))
+        least = np.full(len(queries), -np.inf)  # the k-th product so far
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
+        for start, longest, index in self.parts:
+            open_ = np.flatnonzero(longest * lengths * (1 + 1e-9) >= least)
+            for q, (places, products) in zip(open_.tolist(), index.search(query_ids[open_], queries[open_], k), strict=True):
+                places, products = np.concatenate([found[q][0], start + places]), np.concatenate([found[q][1], products])
+                best = np.lexsort((self.ids[places], -products))[:k]
+                found[q] = places[best], products[best]
+                if len(best) == k:
+                    least[q] = found[q][1][-1]
+        return found
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD) -> DataFrame:
     """The k nearest found of every query: query_id, rank, vec_id, score. Both tables have vec_id (long) and embedding."""
     def clean(df: DataFrame) -> DataFrame:
@@ -123,7 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
         out = {"query_id": [], "asked": [], "vec_id": [], "score": []}
         if held.num_rows and wanted.num_rows:
-            index = Index(held.column("vec_id").to_numpy(), matrix(held.column("embedding")))
+            index = Shard(held.column("vec_id").to_numpy(), matrix(held.column("embedding")))
             query_ids = wanted.column("vec_id").to_numpy()
             for q, (places, products) in enumerate(index.search(query_ids, matrix(wanted.column("embedding")), k)):
                 out["query_id"].append(np.full(len(places), query_ids[q]))

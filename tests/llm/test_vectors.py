@@ -39,6 +39,32 @@ def test_nearest_neighbours_are_found(spark):
     assert hits >= 0.9 * total
 
 
+def recall(spark, x, k=20):
+    df = table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))])
+    x = x.astype(np.float32).astype(float)
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=k).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:k].tolist()))
+    return hits / len(found) / k
+
+
+def test_neighbours_of_uneven_lengths_are_found(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((12, 32))
+    x = centres[rng.integers(0, 12, 3000)] + 0.25 * rng.standard_normal((3000, 32))
+    x /= np.sqrt((x ** 2).sum(axis=1))[:, None]
+    outlier = x.copy()
+    outlier[0] *= 10
+    assert recall(spark, outlier) >= 0.95
+    assert recall(spark, x * np.exp(rng.standard_normal(3000))[:, None]) >= 0.95
+    assert recall(spark, rng.standard_normal((3000, 32))) >= 0.95  # no vector is much nearer than the next
+
+
 def test_odd_vectors_take_no_part(spark):
     rows = [(0, [1.0] * 8, 1), (20, [2.0] * 8, 1), (21, [-1.0] * 8, None), (21, [-1.0] * 8, None), (40, [3.0, 4.0], 2)]
     df = table(spark, ODD + rows)
