@@ -3,6 +3,9 @@
 A chunk is what stands between white space, or a special token of the vocabulary; no token spans two chunks, so a text's ids
 are those of its chunks in order. A worker keeps the ids of chunks it has seen in flat arrays under the chunks' 64-bit hashes
 (at most ``MOST_KEPT`` chunks, then it starts afresh); only new ones are looked at as text.
+
+Special tokens stand in the raw text, before it is lower-cased; their chunks are the byte ``MARK`` and their number. A chunk
+that only looks like one after lower-casing is text.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from codeloom.llm.words import U, hash_words, split_words
 MOST_KEPT, SLOT_BITS = 1_000_000, 21
 #: Beyond these letters, normal forms and lower case are left to the library.
 RARE = re.compile("[^\x00-ɏ]|İ")
+#: Begins the chunk of a special token; no UTF-8 text has this byte.
+MARK = b"\xff"
 _LATIN = [chr(i) for i in range(0x250)]
 _LETTERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
@@ -79,6 +84,8 @@ class ChunkIds:
         with open(path, encoding="utf-8") as file:
             self.config = json.load(file)
         specials = [t["content"] for t in self.config["added_tokens"]]
+        # a chunk is text, whatever it looks like
+        self.plain = Tokenizer.from_str(json.dumps(self.config | {"added_tokens": []}))
         self.special_ids = {t["content"]: t["id"] for t in self.config["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self._reset()
@@ -92,11 +99,12 @@ class ChunkIds:
     def ids_of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def normal(self, text: str) -> str:
+    def normal(self, text: str) -> bytes:
         """The text in normal form, its chunks set apart by white space."""
         if self.special is not None and "<|" in text:
-            return " ".join(part if k % 2 else self._plain(part) for k, part in enumerate(self.special.split(text)))
-        return self._plain(text)
+            return b" ".join(MARK + b"%d" % self.special_ids[part] if k % 2 else self._plain(part).encode()
+                             for k, part in enumerate(self.special.split(text)))
+        return self._plain(text).encode()
 
     def _plain(self, text: str) -> str:
         if RARE.search(text):
@@ -118,7 +126,7 @@ class ChunkIds:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all texts, ids per text); null counts as empty."""
-        data, begins, ends, bounds = split_words([self.normal(t).encode() if t else b"" for t in texts])
+        data, begins, ends, bounds = split_words([self.normal(t) if t else b"" for t in texts])
         keys = hash_words(data, begins, ends)
         keys[keys == 0] = 1
         codes = self.table.find(keys)
@@ -128,7 +136,7 @@ class ChunkIds:
                 self._reset()
                 codes[:] = -1
                 new, at = self._new(keys, codes)
-            self._learn(new, [bytes(data[a:b]).decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            self._learn(new, [bytes(data[a:b]) for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
             missing = np.flatnonzero(codes < 0)
             codes[missing] = self.table.find(keys[missing])
         lengths = self.lengths[codes]
@@ -143,12 +151,12 @@ class ChunkIds:
         new, first = np.unique(keys[missing], return_index=True)
         return new, missing[first]
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]):
-        special = np.array([c in self.special_ids for c in chunks], bool)
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]):
+        special = np.array([c.startswith(MARK) for c in chunks], bool)
         order = np.concatenate([np.flatnonzero(~special), np.flatnonzero(special)])
         n = int((~special).sum())
-        flat, lengths = self.ids_of_chunks([chunks[i] for i in order[:n]])
-        flat = np.concatenate([flat, np.array([self.special_ids[chunks[i]] for i in order[n:]], flat.dtype)])
+        flat, lengths = self.ids_of_chunks([chunks[i].decode() for i in order[:n]])
+        flat = np.concatenate([flat, np.array([int(chunks[i][1:]) for i in order[n:]], flat.dtype)])
         lengths = np.concatenate([lengths, np.ones(len(order) - n, np.int64)])
         first, base = len(self.lengths), len(self.flat)
         self.table.add(keys[order], np.arange(first, first + len(order), dtype=np.int32))
@@ -171,7 +179,7 @@ class LibraryIds(ChunkIds):
     """New chunks are encoded by the tokenizers library itself."""
 
     def ids_of_chunks(self, chunks):
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
+        found = self.plain.encode_batch_fast(chunks, add_special_tokens=False)
         lists = [e.ids for e in found]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum())), lengths

@@ -38,6 +38,19 @@ def test_ids_equal_the_library(kind):
         assert all(encoder.decode(np.array(w)) == library.decode(w, skip_special_tokens=False) for w in want)
 
 
+@pytest.mark.parametrize("kind", [bpe.MergeIds, LibraryIds])
+def test_special_tokens_in_other_case_are_text(kind):
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "<|EndOfText|>", "x<|StartOfText|>y <|startoftext|>", "<|ENDOFTEXT|>" * 2,
+             "<|endoftext|><|ENDOFTEXT|>", "É <|endofTEXT|> é", "\u4e2d <|ENDOFTEXT|>", "\u212a<|endoftext|>\u212a"]
+    want = library_ids(texts)[1]
+    assert want[0] == [320, 27, 347, 40786, 4160, 91, 285, 321]
+    for order in (1, -1):  # whichever form is seen first
+        encoder = kind(vocabulary())
+        assert [encoder.encode([t])[0].tolist() for t in texts[::order]] == want[::order]
+        ids, lengths = kind(vocabulary()).encode(texts[::order])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths))[:-1]] == want[::order]
+
+
 def test_a_full_table_starts_afresh(monkeypatch):
     monkeypatch.setattr("codeloom.llm.tokens.MOST_KEPT", 50)
     texts = odd_texts(200)
