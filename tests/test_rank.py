@@ -107,3 +107,24 @@ def test_more_candidates_than_fifty(graph):
     assert every.count() == 71
     assert rank.rank_by_transitive(nodes, edges, limit=None, candidates=None).count() == 71
     assert rank.rank_by_transitive(nodes, edges, limit=100).count() == 50
+
+
+def test_the_query_over_all_nodes_counts_every_kind(spark):
+    from codeloom.plans.catalog import QUERIES
+    from codeloom.plans.graph_view import graph_edges, graph_nodes
+
+    sf = "/root/testdata/sf0.001"
+    edges = [tuple(r) for r in graph_edges(spark, sf).select("source_id", "target_id").collect()]
+    into = {}
+    for source, target in edges:
+        into.setdefault(target, []).append(source)
+    want = {}
+    for row in graph_nodes(spark, sf).collect():
+        level, rows = {row["id"]}, 0
+        for _ in range(10):
+            level = {s for n in level for s in into.get(n, ())}
+            rows += len(level)
+        want[row["qualified_name"]] = (len(into.get(row["id"], ())), rows)
+    got = QUERIES["rank_transitive_all"](spark, sf).collect()
+    assert len(got) == len(want)
+    assert {r["qualified_name"]: (r["in_degree"], r["transitive_count"]) for r in got} == want
