@@ -2,7 +2,7 @@
 
 A chunk is what stands between white space, or a special token of the vocabulary; no token spans two chunks, so a text's ids
 are those of its chunks in order. A worker keeps the ids of chunks it has seen in flat arrays under the chunks' 64-bit hashes
-(at most ``MOST_KEPT`` chunks, then it starts afresh); only new ones are looked at as text.
+(at most ``MOST_KEPT`` chunks and those of one batch, then it starts afresh); only new ones are looked at as text.
 
 Special tokens stand in the raw text, before it is lower-cased; their chunks are the byte ``MARK`` and their number. A chunk
 that only looks like one after lower-casing is text.
@@ -18,8 +18,8 @@ import numpy as np
 
 from codeloom.llm.words import U, hash_words, split_words
 
-#: Chunks whose ids one worker keeps, and the slots of their table.
-MOST_KEPT, SLOT_BITS = 1_000_000, 21
+#: Chunks whose ids one worker keeps, the slots their table begins with, and new chunks that are encoded at once.
+MOST_KEPT, SLOT_BITS, AT_ONCE = 1_000_000, 21, 1 << 18
 #: Beyond these letters, normal forms and lower case are left to the library.
 RARE = re.compile("[^\x00-ɏ]|İ")
 #: Begins the chunk of a special token; no UTF-8 text has this byte.
@@ -33,14 +33,18 @@ _kept: dict = {}
 
 
 class HashTable:
-    """Open addressing in two arrays: 64-bit keys to numbers."""
+    """Open addressing in two arrays: 64-bit keys to numbers. At most half of the slots are taken."""
 
     def __init__(self):
-        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.values = np.zeros(1 << SLOT_BITS, np.int32)
+        self._clear(SLOT_BITS)
+
+    def _clear(self, bits: int):
+        self.bits, self.held = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, np.int32)
 
     def _slot(self, keys):
-        return (keys >> U(64 - SLOT_BITS)).astype(np.int64)
+        return (keys >> U(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, or -1."""
@@ -52,11 +56,23 @@ class HashTable:
             hit = seen == keys[open_]
             out[open_[hit]] = self.values[slot[hit]]
             go = ~hit & (seen != 0)
-            open_, slot = open_[go], (slot[go] + 1) & ((1 << SLOT_BITS) - 1)
+            open_, slot = open_[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
     def add(self, keys: np.ndarray, values: np.ndarray):
         """New, distinct keys."""
+        bits = self.bits
+        while 2 * (self.held + len(keys)) > 1 << bits:
+            bits += 1
+        if bits > self.bits:
+            old = self.keys != 0
+            old_keys, old_values = self.keys[old], self.values[old]
+            self._clear(bits)
+            self._put(old_keys, old_values)
+        self._put(keys, values)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray):
+        self.held += len(keys)
         slot = self._slot(keys)
         while len(keys):
             free = np.flatnonzero(self.keys[slot] == 0)
@@ -64,7 +80,7 @@ class HashTable:
             self.keys[at], self.values[at] = keys[free[first]], values[free[first]]
             left = np.ones(len(keys), bool)
             left[free[first]] = False
-            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1)
 
 
 class ChunkIds:
@@ -136,7 +152,9 @@ class ChunkIds:
                 self._reset()
                 codes[:] = -1
                 new, at = self._new(keys, codes)
-            self._learn(new, [bytes(data[a:b]) for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            for i in range(0, len(new), AT_ONCE):
+                own = at[i:i + AT_ONCE]
+                self._learn(new[i:i + AT_ONCE], [bytes(data[a:b]) for a, b in zip(begins[own].tolist(), ends[own].tolist(), strict=True)])
             missing = np.flatnonzero(codes < 0)
             codes[missing] = self.table.find(keys[missing])
         lengths = self.lengths[codes]

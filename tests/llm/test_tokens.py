@@ -59,6 +59,17 @@ def test_a_full_table_starts_afresh(monkeypatch):
     assert [i for g in got for i in g] == [i for w in library_ids(texts)[1] for i in w]
 
 
+@pytest.mark.parametrize("kind", [bpe.MergeIds, LibraryIds])
+def test_more_chunks_than_the_table_has_slots(kind, monkeypatch):
+    monkeypatch.setattr("codeloom.llm.tokens.SLOT_BITS", 6)
+    monkeypatch.setattr("codeloom.llm.tokens.MOST_KEPT", 50)
+    monkeypatch.setattr("codeloom.llm.tokens.AT_ONCE", 70, raising=False)
+    text = " ".join(f"{i * i:x} <|endoftext|>" for i in range(500))
+    encoder = kind(vocabulary())
+    for t in ("a few", text, "a few more", text):
+        assert encoder.encode([t])[0].tolist() == library_ids([t])[1][0]
+
+
 def test_encode_and_decode_columns(spark):
     texts = [None, "", "Hello, World", "x" * 70_000, "<|endoftext|>", "same", "same"]
     docs = documents(spark, list(enumerate(texts))).selectExpr("*", "'taken' as ids", "0 as decoded")
