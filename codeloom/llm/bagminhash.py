@@ -54,6 +54,12 @@ def counted(hashes: np.ndarray, bounds: np.ndarray):
     return doc[at], hashes[at], np.diff(np.append(at, len(hashes)))
 
 
+def marked(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A number for each document that depends on its shingles and their occurrences, not on their order."""
+    sums = np.concatenate([[0], np.cumsum(mixed(hashes ^ U(0x8EBC6AF09C88C6E3)), dtype=np.uint64)]).astype(np.uint64)
+    return mixed(sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1), from random bits."""
     return ((x >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)
@@ -132,13 +138,12 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in by_text(batch, "text", MOST_BYTES):
-                doc, shingle, times = counted(*shingles(part.column("text").to_pylist(), SHINGLE))
+                texts = part.column("text").to_pylist()
                 n = part.num_rows
-                marks = []
-                for salt in (U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)):
-                    sums = np.zeros(n + 1, np.uint64)
-                    np.add.at(sums, doc, mixed(shingle ^ salt) * times.astype(np.uint64))
-                    marks.append(mixed(sums[:-1]).view(np.int64))
+                once, bounds = shingles(texts, SHINGLE)
+                # two marks from hashes that have nothing in common, from the words' bytes on
+                marks = [marked(once, bounds), marked(*shingles(texts, SHINGLE, seed=1))]
+                doc, shingle, times = counted(once, bounds)
                 sizes = np.bincount(doc, times, n).astype(np.int64)
                 keys = buckets(signatures(doc, shingle, times, n))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))

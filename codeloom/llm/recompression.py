@@ -10,8 +10,8 @@ one with the smallest hash.
 So a window can be repeated only if its anchor's name is shared. Spark counts the names of anchors (combined by batch before
 they are shuffled) and sends the shared ones back to the batches of documents that have them. Neighbouring windows of one
 anchor form a segment; segments of equal name and equal windows verify each other at once, which settles the inside of long
-repeats. Where a name has several kinds of segments, each kind's windows are counted one by one, once per kind. Names and
-segments, and windows, are compared by 128 bits of hash. Batches are files in the shared folder, listed in a table; a task
+repeats. Where a name has several kinds of segments, each kind's windows are counted one by one, once per kind. Segments and
+windows are compared by two 64-bit hashes that share nothing, from the words' bytes on. Batches are files in the shared folder, listed in a table; a task
 reads one at a time, and rows between tasks name the batch, never the text.
 
 A null text has no words and stays null; empty and blank texts have no words. A word that any repeated window covers goes,
@@ -137,22 +137,49 @@ class Batch:
             got = smallest((U(15) - span) << U(60) | mixed(s.names + U(k)) >> U(4), begin[has], end[has])
             anchor[open_[has]], name[open_[has]] = s.first[got], mixed(s.names[got] ^ U((k + 1) * 0x51ED270B7A93 + 1))
             open_ = open_[~has]
-        self.one = windows(self.hashes, length, 0xC2B2AE3D27D4EB4F)[self.starts]
+        # two hashes of each window that have nothing in common, from the words' bytes on
+        self.one = windows(self.hashes, length)[self.starts]
+        self.two = windows(hash_words(data, begins, ends, seed=1), length, seed=1)[self.starts]
         new = np.ones(len(self.starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1]) | (self.starts[1:] != self.starts[:-1] + 1)
         self.segment = np.cumsum(new) - 1  # of each window
         first = np.flatnonzero(new)
         self.names = name[first]
-        told = mixed(self.one + mixed((self.starts - anchor).astype(np.uint64)))
-        self.kinds = np.add.reduceat(told, first) if len(first) else np.empty(0, np.uint64)
-
-    def two(self, which: np.ndarray) -> np.ndarray:
-        """The second hash of some windows."""
-        return windows(self.hashes, self.length, 0x165667B19E3779F9)[self.starts[which]]
-
-
-def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(mixed(a) + b * U(0x9FB21C651E98DF25))
+        place = mixed((self.starts - anchor).astype(np.uint64))
+        self.kinds, self.others = (np.add.reduceat(mixed(w + place), first) if len(first) else np.empty(0, np.uint64)
+                                   for w in (self.one, self.two))
+        #: What tells segments apart.
+        self.told = [self.names, self.kinds, self.others]
+
+
+def distinct(first: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, times) of the different rows of some columns, in the order of ``first``."""
+    order = np.argsort(first, kind="stable")
+    tie = first[order][1:] == first[order][:-1]
+    for o in others:
+        if (tie & (o[order][1:] != o[order][:-1])).any():  # hardly ever: one hash for different things
+            order = np.lexsort((*others[::-1], first))
+            break
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (first, *others)])
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
+
+
+def among(own: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
+    """Which rows of ``own`` are rows of ``wanted``, both given as columns."""
+    found = np.zeros(len(own[0]), bool)
+    order = np.argsort(wanted[0], kind="stable")
+    wanted = [w[order] for w in wanted]
+    at = np.searchsorted(wanted[0], own[0])
+    open_ = np.flatnonzero(at < len(order))
+    while len(open_):
+        open_ = open_[wanted[0][at[open_]] == own[0][open_]]
+        found[open_] = np.logical_and.reduce([w[at[open_]] == o[open_] for o, w in zip(own, wanted, strict=True)])
+        open_ = open_[~found[open_]]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(order)]
+    return found
 
 
 def spilled(docs: DataFrame) -> DataFrame:
@@ -224,39 +251,40 @@ def repeats(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataF
         for rows in batches:
             for number, file in zip(rows.column("batch").to_pylist(), rows.column("file").to_pylist(), strict=True):
                 b = Batch(load(file).column("text").to_pylist(), length)
-                _, first, times = np.unique(both(b.names, b.kinds), return_index=True, return_counts=True)
+                first, times = distinct(*b.told)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(b.names[first]), signed(b.kinds[first]), pa.array(np.full(len(first), number)),
-                     pa.array(np.minimum(times, 2).astype(np.int32))], names=["name", "kind", "batch", "n"])
+                    [*(signed(c[first]) for c in b.told), pa.array(np.full(len(first), number)),
+                     pa.array(np.minimum(times, 2).astype(np.int32))], names=["name", "kind", "other", "batch", "n"])
 
     # A batch has one row of a kind, whatever the kind's number of copies in it, so the rows of one name are far fewer than
     # its occurrences; one shuffle by name serves the counts of names and of kinds.
-    segments = per_batch(listing, n).mapInArrow(names_of, "name long, kind long, batch long, n int")
-    by_name, by_kind = Window.partitionBy("name"), Window.partitionBy("name", "kind")
+    segments = per_batch(listing, n).mapInArrow(names_of, "name long, kind long, other long, batch long, n int")
+    by_name, by_kind = Window.partitionBy("name"), Window.partitionBy("name", "kind", "other")
     told = segments.select(
-        "*", F.sum("n").over(by_name).alias("of_name"), (F.min("kind").over(by_name) < F.max("kind").over(by_name)).alias("several"),
+        "*", F.sum("n").over(by_name).alias("of_name"),
+        (F.min(F.struct("kind", "other")).over(by_name) < F.max(F.struct("kind", "other")).over(by_name)).alias("several"),
         F.sum("n").over(by_kind).alias("of_kind"), F.min("batch").over(by_kind).alias("speaker")).where("of_name > 1").select(
-        "batch", "name", "kind", (F.col("of_kind") > 1).alias("again"), (F.col("several") & (F.col("batch") == F.col("speaker"))).alias("speaks"))
+        "batch", "name", "kind", "other", (F.col("of_kind") > 1).alias("again"), (F.col("several") & (F.col("batch") == F.col("speaker"))).alias("speaks"))
     told = written(told.where("again or speaks"), "repeat-told")
 
     def packed(rows: DataFrame, *fields: str) -> DataFrame:
         # at most as many as a batch has words
         return rows.groupBy("batch").agg(F.collect_list(F.struct(*fields)).alias("_".join(fields)))
 
-    asked = listing.join(packed(told.where("speaks"), "name", "kind"), "batch")
+    asked = listing.join(packed(told.where("speaks"), "name", "kind", "other"), "batch")
 
     def windows_of(batches):
         for rows in batches:
             for i, (number, file) in enumerate(zip(rows.column("batch").to_pylist(), rows.column("file").to_pylist(), strict=True)):
                 b = Batch(load(file).column("text").to_pylist(), length)
-                want = rows.column("name_kind")[i]
-                speaks = np.isin(both(b.names, b.kinds), both(unsigned(want, "name"), unsigned(want, "kind")))
+                want = rows.column("name_kind_other")[i]
+                speaks = among(b.told, [unsigned(want, c) for c in ("name", "kind", "other")])
                 # one segment of each kind
                 once = np.zeros(len(speaks), bool)
-                once[np.unique(both(b.names, b.kinds), return_index=True)[1]] = True
+                once[distinct(*b.told)[0]] = True
                 own = np.flatnonzero((speaks & once)[b.segment])
-                one, two = b.one[own], b.two(own)
-                _, first, times = np.unique(both(one, two), return_index=True, return_counts=True)
+                one, two = b.one[own], b.two[own]
+                first, times = distinct(one, two)
                 yield pa.RecordBatch.from_arrays(
                     [signed(one[first]), signed(two[first]), pa.array(np.full(len(first), number)),
                      pa.array(np.minimum(times, 2).astype(np.int32))], names=["one", "two", "batch", "n"])
@@ -264,24 +292,24 @@ def repeats(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataF
     spoken = per_batch(asked, n).mapInArrow(windows_of, "one long, two long, batch long, n int")
     common = spoken.withColumn("total", F.sum("n").over(Window.partitionBy("one", "two"))).where("total > 1")
     heard = packed(common, "one", "two")
-    known = packed(told.where("again"), "name", "kind")
+    known = packed(told.where("again"), "name", "kind", "other")
 
     def result(batches):
         for rows in batches:
             for i, file in enumerate(rows.column("file").to_pylist()):
                 table = load(file)
                 b = Batch(table.column("text").to_pylist(), length)
-                want, seen = rows.column("name_kind")[i], rows.column("one_two")[i]
-                again = np.isin(both(b.names, b.kinds), both(unsigned(want, "name"), unsigned(want, "kind")))[b.segment]
+                want, seen = rows.column("name_kind_other")[i], rows.column("one_two")[i]
+                again = among(b.told, [unsigned(want, c) for c in ("name", "kind", "other")])[b.segment]
                 rest = np.flatnonzero(~again)
                 if seen.is_valid and len(rest):
-                    again[rest] = np.isin(both(b.one[rest], b.two(rest)), both(unsigned(seen, "one"), unsigned(seen, "two")))
+                    again[rest] = among([b.one[rest], b.two[rest]], [unsigned(seen, "one"), unsigned(seen, "two")])
                 edge = np.zeros(len(b.hashes) + 1, np.int64)
                 np.add.at(edge, b.starts[again], 1)
                 np.add.at(edge, b.starts[again] + length, -1)
                 yield finish(table, b, np.cumsum(edge[:-1]) > 0)
 
-    whole = listing.join(known, "batch", "left").join(heard, "batch", "left").select("batch", "file", "name_kind", "one_two")
+    whole = listing.join(known, "batch", "left").join(heard, "batch", "left").select("batch", "file", "name_kind_other", "one_two")
     return per_batch(whole, n).mapInArrow(result, schema)
 
 

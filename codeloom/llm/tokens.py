@@ -2,7 +2,8 @@
 
 A chunk is what stands between white space, or a special token of the vocabulary; no token spans two chunks, so a text's ids
 are those of its chunks in order. A worker keeps the ids of chunks it has seen in flat arrays under the chunks' 64-bit hashes
-(at most ``MOST_KEPT`` chunks and those of one batch, then it starts afresh); only new ones are looked at as text.
+(at most ``MOST_KEPT`` chunks and those of one batch, then it starts afresh); only new ones are looked at as text. A chunk
+that is found by its hash is compared byte by byte with the one that was kept; one that differs is kept under its text.
 
 Special tokens stand in the raw text, before it is lower-cased; their chunks are the byte ``MARK`` and their number. A chunk
 that only looks like one after lower-casing is text.
@@ -16,7 +17,7 @@ import unicodedata
 
 import numpy as np
 
-from codeloom.llm.words import U, hash_words, split_words
+from codeloom.llm.words import U, hash_words, heads, split_words
 
 #: Chunks whose ids one worker keeps, the slots their table begins with, and new chunks that are encoded at once.
 MOST_KEPT, SLOT_BITS, AT_ONCE = 1_000_000, 21, 1 << 18
@@ -111,6 +112,10 @@ class ChunkIds:
         self.flat = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
+        #: The chunks themselves: sizes, first eight bytes, and where the whole ones lie in ``texts``.
+        self.sizes, self.heads, self.places = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.texts = np.empty(0, np.uint8)
+        self.others: dict[bytes, int] = {}
 
     def ids_of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -157,6 +162,12 @@ class ChunkIds:
                 self._learn(new[i:i + AT_ONCE], [bytes(data[a:b]) for a, b in zip(begins[own].tolist(), ends[own].tolist(), strict=True)])
             missing = np.flatnonzero(codes < 0)
             codes[missing] = self.table.find(keys[missing])
+        for i in self._unlike(codes, data, begins, ends - begins).tolist():
+            chunk = bytes(data[begins[i]:ends[i]])
+            if chunk not in self.others:
+                self.others[chunk] = len(self.lengths)
+                self._learn(None, [chunk])
+            codes[i] = self.others[chunk]
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -169,7 +180,20 @@ class ChunkIds:
         new, first = np.unique(keys[missing], return_index=True)
         return new, missing[first]
 
-    def _learn(self, keys: np.ndarray, chunks: list[bytes]):
+    def _unlike(self, codes, data, begins, sizes) -> np.ndarray:
+        """The places of the chunks that are not the kept ones of their codes."""
+        unlike = (self.sizes[codes] != sizes) | (self.heads[codes] != heads(data, begins, sizes))
+        long = np.flatnonzero((sizes > 8) & ~unlike)
+        if len(long):
+            own = sizes[long]
+            firsts = np.cumsum(own) - own
+            within = np.arange(int(own.sum())) - np.repeat(firsts, own)
+            differ = data[within + np.repeat(begins[long], own)] != self.texts[within + np.repeat(self.places[codes[long]], own)]
+            unlike[long] = np.logical_or.reduceat(differ, firsts)
+        return np.flatnonzero(unlike)
+
+    def _learn(self, keys: np.ndarray | None, chunks: list[bytes]):
+        """Keep the ids of new chunks, in the table if they have keys."""
         special = np.array([c.startswith(MARK) for c in chunks], bool)
         order = np.concatenate([np.flatnonzero(~special), np.flatnonzero(special)])
         n = int((~special).sum())
@@ -177,7 +201,13 @@ class ChunkIds:
         flat = np.concatenate([flat, np.array([int(chunks[i][1:]) for i in order[n:]], flat.dtype)])
         lengths = np.concatenate([lengths, np.ones(len(order) - n, np.int64)])
         first, base = len(self.lengths), len(self.flat)
-        self.table.add(keys[order], np.arange(first, first + len(order), dtype=np.int32))
+        if keys is not None:
+            self.table.add(keys[order], np.arange(first, first + len(order), dtype=np.int32))
+        sizes = np.array([len(chunks[i]) for i in order], np.int64)
+        raw = np.frombuffer(b"".join(chunks[i] for i in order), np.uint8)
+        places = np.cumsum(sizes) - sizes
+        self.sizes, self.heads = np.concatenate([self.sizes, sizes]), np.concatenate([self.heads, heads(raw, places, sizes)])
+        self.places, self.texts = np.concatenate([self.places, len(self.texts) + places]), np.concatenate([self.texts, raw])
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])

@@ -34,3 +34,10 @@ class Groups:
     def join(self, a, b):
         a, b = self.find(a), self.find(b)
         self.up[max(a, b)] = min(a, b)
+
+
+def twins():
+    """Two words of 1,024 letters with equal polynomial hashes modulo 2 ** 64, whatever the base: the number of ones in a
+    place's binary form decides its letter."""
+    odd = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from codeloom.llm import bagminhash, recompression
-from tests.llm.helpers import Groups, documents, rows_of, words
+from tests.llm.helpers import Groups, documents, rows_of, twins, words
 
 
 def sentence(rng, n, letters="abcdefghijklmnopqrstuvwxyz"):
@@ -154,3 +154,21 @@ def test_equal_windows_have_equal_anchors():
         own = (b.starts >= at) & (b.starts <= at + 25)
         found.add(tuple(b.names[b.segment[own]].tolist()))
     assert len(found) == 1
+
+
+def test_words_of_equal_polynomial_hashes_differ(spark):
+    a, b = twins()
+    side = [" ".join(f"{x}{i}" for i in range(17)) for x in "lr"]
+    docs = documents(spark, [(1, f"{side[0]} {a} {side[1]}"), (2, f"{side[0]} {b} {side[1]}"), (3, a), (4, b), (5, a)])
+    assert rows_of(recompression.digests(docs), "doc_id", "n_removed") == [(i, 0) for i in range(1, 6)]
+    assert rows_of(bagminhash.labelled(docs), "doc_id", "group_id") == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 3)]
+
+
+def test_hash_collisions_do_not_remove_words():
+    one = np.array([5, 5, 5, 2, 5, 9], np.uint64)
+    two = np.array([1, 2, 1, 1, 3, 9], np.uint64)
+    first, times = recompression.distinct(one, two)
+    assert sorted(zip(one[first].tolist(), two[first].tolist(), times.tolist())) == [(2, 1, 1), (5, 1, 2), (5, 2, 1), (5, 3, 1), (9, 9, 1)]
+    wanted = [np.array([5, 5, 2], np.uint64), np.array([3, 1, 7], np.uint64)]
+    assert recompression.among([one, two], wanted).tolist() == [True, False, True, False, True, False]
+    assert not recompression.among([one, two], [one[:0], two[:0]]).any()

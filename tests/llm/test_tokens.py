@@ -8,7 +8,7 @@ from codeloom.llm import bpe, rans
 from codeloom.llm.common import file_system
 from codeloom.llm.queries import vocabulary
 from codeloom.llm.tokens import LibraryIds
-from tests.llm.helpers import documents
+from tests.llm.helpers import documents, twins
 
 LETTERS = "aAbBzZ'sStT012 \t\n\x0b\x1c\x85\xa0ñÑéßİıŁǅſΣσςКиё中文🙂👍🏽́̀e​　 .,!?<|>-_#½²ªºǅﬁ가ᄀ\x00"
 
@@ -51,6 +51,20 @@ def test_special_tokens_in_other_case_are_text(kind):
         assert [x.tolist() for x in np.split(ids, np.cumsum(lengths))[:-1]] == want[::order]
 
 
+@pytest.mark.parametrize("kind", [bpe.MergeIds, LibraryIds])
+def test_chunks_of_one_hash_stay_apart(kind, monkeypatch):
+    texts = [" ".join(twins()), twins()[1], "word other", *odd_texts(40)]
+    want = library_ids(texts)[1]
+    ids, lengths = kind(vocabulary()).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths))[:-1]] == want
+    # every word under one of five hashes
+    monkeypatch.setattr("codeloom.llm.tokens.hash_words", lambda data, begins, ends: np.uint64(1) + (ends - begins).astype(np.uint64) % np.uint64(5))
+    encoder = kind(vocabulary())
+    for _ in range(2):
+        ids, lengths = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths))[:-1]] == want
+
+
 def test_a_full_table_starts_afresh(monkeypatch):
     monkeypatch.setattr("codeloom.llm.tokens.MOST_KEPT", 50)
     texts = odd_texts(200)
