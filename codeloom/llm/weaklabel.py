@@ -3,7 +3,7 @@
 Heuristic labellers vote good or bad on every document, or abstain. All documents are counted by their votes (at most
 3 ** 6 kinds), and expectation-maximisation over these counts estimates how often each labeller votes how on good and on bad
 documents; that gives each kind of votes the probability of being bad. A linear scorer on hashed features, byte trigrams and
-the labellers' measures in steps, learns these probabilities from a bounded sample (``SAMPLE_ROWS`` documents with the
+the labellers' measures in steps, learns these probabilities from a bounded sample (``SAMPLE_ROWS`` distinct documents with the
 smallest hashes) and then scores every document, whole texts always.
 
 A document without words (null, empty or blank text) has nothing to keep: score 0, rejected; it takes no part in the fit.
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import by_text, fresh, row_key, widened
+from codeloom.llm.common import by_text, fresh, row_key, small_batches, widened
 from codeloom.session import written
 
-MOST_BYTES = 2 << 20
+MOST_BYTES = 1 << 19
 SAMPLE_ROWS = 4000
 TRIGRAMS = 1 << 15
 #: (bad from, good up to) of each labeller's measure; between them it abstains.
@@ -148,20 +148,21 @@ def bad_chance(counts: dict[int, int]) -> dict[int, float]:
     return dict(zip(kinds, bad.tolist(), strict=True))
 
 
-def train(texts: list[str], good: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of the scorer, by gradient steps of adaptive length over all rows."""
-    columns, values, lengths = [], [], []
-    for text in texts:
-        got = Measured([text])
-        hashed, real = got.trigrams()
-        found, times = np.unique(hashed[real], return_counts=True)
-        columns += [found, got.stepped()[0]]
-        values += [times * 10 / max(got.sizes[0], 1), np.ones(len(LABELLERS))]
-        lengths.append(len(found) + len(LABELLERS))
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of a text's features, at most ``FEATURES``."""
+    got = Measured([text])
+    hashed, real = got.trigrams()
+    found, times = np.unique(hashed[real], return_counts=True)
+    return np.concatenate([found, got.stepped()[0]]), np.concatenate([times * 10 / max(got.sizes[0], 1), np.ones(len(LABELLERS))])
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of the scorer, by gradient steps of adaptive length over the features of all texts."""
     weights, bias = np.zeros(FEATURES), 0.0
     if not texts:
         return weights, 1.0
-    column, value, length = np.concatenate(columns), np.concatenate(values), np.array(lengths)
+    column, value = (np.concatenate(c) for c in zip(*texts, strict=True))
+    length = np.array([len(t[0]) for t in texts])
     first = np.cumsum(length) - length
     squares, bias_squares = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(EPOCHS):
@@ -180,22 +181,34 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, fl
     voted = written(votes_of(docs), "votes")
     counts = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}  # 3 ** 6 rows at most
     chance = bad_chance(counts)
-    sample = voted.orderBy(F.xxhash64("a", "b", "c"), "a", "b", "c").limit(sample_rows).dropDuplicates(["a", "b", "c"])
+    once = voted.groupBy("a", "b", "c").agg(F.first("votes").alias("votes"))
+    sample = written(once.orderBy(F.xxhash64("a", "b", "c"), "a", "b", "c").limit(sample_rows), "sample")
     a, b, c = row_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(a.alias("a"), b.alias("b"), c.alias("c"), "text").join(F.broadcast(sample), ["a", "b", "c"])
-    once = rows.groupBy("a", "b", "c").agg(F.first("text").alias("text"), F.first("votes").alias("votes"))
 
     def run(batches):
-        texts, votes = [], []
         for batch in batches:
-            texts += batch.column("text").to_pylist()
-            votes += batch.column("votes").to_pylist()
-        order = sorted(range(len(texts)), key=texts.__getitem__)
-        weights, bias = train([texts[i] for i in order], np.array([1 - chance[votes[i]] for i in order]))
+            for part in by_text(batch, "text", MOST_BYTES):
+                found = [features(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:4], pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())),
+                     pa.array([f[1].tolist() for f in found], pa.list_(pa.float32()))], names=["a", "b", "c", "votes", "places", "times"])
+
+    seen = rows.select("a", "b", "c", "votes", "text").mapInArrow(
+        run, "a string, b long, c int, votes int, places array<int>, times array<float>")
+    # at most sample_rows rows of at most FEATURES numbers each, whatever the length of the texts; repeated rows once
+    seen = seen.groupBy("a", "b", "c").agg(F.first(F.struct("votes", "places", "times")).alias("f")).select("a", "b", "c", "f.*")
+
+    def learn(batches):
+        table = pa.Table.from_batches(batches).sort_by([("a", "ascending"), ("b", "ascending"), ("c", "ascending")])
+        good = [1 - chance[v] for v in table.column("votes").to_pylist()]
+        places, times = (table.column(c).combine_chunks() for c in ("places", "times"))
+        weights, bias = train([(places[i].values.to_numpy(), times[i].values.to_numpy().astype(float)) for i in range(len(good))], np.array(good))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    # at most sample_rows texts in the one task that learns
-    learnt = once.select("text", "votes").repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    if not counts:
+        return train([], np.empty(0))
+    learnt = seen.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
     return np.frombuffer(learnt["weights"]), learnt["bias"]
 
 
@@ -217,5 +230,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that a scorer fitted on them keeps, with its columns."""
-    rated = scored(docs, fit(docs))
+    with small_batches(docs.sparkSession):
+        model = fit(docs)
+    rated = scored(docs, model)
     return rated.where(F.col(rated.columns[-1])).select(*docs.columns)
