@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, mixing, rans, recompression, warc, weaklabel
+from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, mixing, rans, recompression, tokencount, warc, weaklabel
 from codeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,15 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 SQL["op8_substring_dedup"] = recompression.SQL
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    """The tokens of every whole text, as the last of the counts of its prefixes."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    n_tokens = tokencount.total(F.col("counts"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                          n_tokens.alias("n_tokens"), (n_tokens > 1024).alias("over_limit"))
