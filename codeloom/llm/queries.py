@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, mixing, rans, recompression, tokencount, warc, weaklabel
+from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, mixing, periodic, rans, recompression, tokencount, warc, weaklabel
 from codeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,9 @@ def op12_token_counts(spark, sf_dir):
     n_tokens = tokencount.total(F.col("counts"))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                           n_tokens.alias("n_tokens"), (n_tokens > 1024).alias("over_limit"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    """The runs of every text, after about one in ten has got a periodic tail, and digests of them and of the collapsed texts."""
+    return periodic.digests(periodic.planted(table(spark, sf_dir, "documents")))
