@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, mixing, periodic, rans, recompression, tokencount, warc, weaklabel
+from codeloom.llm import ann, bagminhash, bpe, chat, egojoin, merkle, mixing, periodic, rans, recompression, tokencount, warc, weaklabel
 from codeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,12 @@ def op12_token_counts(spark, sf_dir):
 def op13_periodic_runs(spark, sf_dir):
     """The runs of every text, after about one in ten has got a periodic tail, and digests of them and of the collapsed texts."""
     return periodic.digests(periodic.planted(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    """Every document's leaf, tree root, proof and its verification, after one in seven has been tampered with."""
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_merkle"] = merkle.SQL
