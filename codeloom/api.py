@@ -184,7 +184,7 @@ class CodeGraph:
 
     def _walk(self, name, edge_kinds, max_depth, response_shape, cursor, limit, reverse):
         paging.check_shape(response_shape)
-        nodes, edges = self.store.ranked_nodes(), self.store.edges()
+        nodes = self.store.ranked_nodes()
         start = self._find(nodes, [name]).select("id", "qualified_name").first()
         if start is None:
             return {"found": False, "message": f"nothing in the graph is called {name!r}"}
@@ -192,7 +192,7 @@ class CodeGraph:
                                else ("find_dependencies", "source", "dependencies"))
         call = paging.call_mark(tool, name=name, edge_kinds=edge_kinds, max_depth=max_depth, response_shape=response_shape)
         seed = self.spark.range(1).select(F.lit(start["id"]).alias("seed_id"))
-        reached = traverse.closure(edges, seed, max_depth, edge_kinds, reverse).drop("seed_id")
+        reached = traverse.closure(self.store.links(reverse, edge_kinds), seed, max_depth).drop("seed_id")
         found = traverse.closure_nodes(nodes, reached)
         rows, following = paging.page(found, ["depth", "qualified_name"], cursor, limit, call)
         return {"found": True, source: start.asDict(), "count": rows.count(), items: lookup.shape(rows, response_shape),
@@ -248,11 +248,12 @@ class CodeGraph:
                              [t for t in tags if isinstance(t, str)], str(item.get("role") or ""),
                              bool(item.get("failed")), position))
             annotations = self.spark.createDataFrame(rows, ANNOTATIONS)
+        base = self.store.entry()
         parts = self.store.parts_of(annotations)
         nodes = self.store.nodes(parts=parts)
         stats = annotate.write_stats(nodes, annotations).first().asDict()
         if stats["written"] or stats["failed"]:
-            self.store.commit(annotate.write_annotations(nodes, annotations), parts=parts)
+            self.store.commit(annotate.write_annotations(nodes, annotations), parts=parts, base=base)
         return stats | {"skipped": stats["skipped"] + skipped}
 
     def find_stale_annotations(self, file_paths: Sequence[str] | None = None, limit: int = 50):
@@ -264,13 +265,13 @@ class CodeGraph:
         return {"count": found.count(), "low_quality_nodes": found}
 
     def requeue_low_quality_annotations(self, dry_run: bool = True, limit: int = 100):
-        nodes = self.store.nodes()
+        base, nodes = self.store.entry(), self.store.nodes()
         found = annotate.low_quality(nodes, limit)
         stats = annotate.requeue_stats(found, dry_run).first().asDict()
         result = stats | {"dry_run": dry_run, "nodes": found}
         if not dry_run and stats["low_quality"]:
             parts = self.store.parts_of(found)
-            self.store.commit(annotate.requeue(self.store.nodes(parts=parts), limit), parts=parts)
+            self.store.commit(annotate.requeue(self.store.nodes(parts=parts), limit), parts=parts, base=base)
         return result
 
     # ---- changes --------------------------------------------------------------------------------------------------

@@ -113,7 +113,7 @@ def edge_shares(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) ->
     shares = valid.join(totals.withColumnRenamed("id", "source_id"), "source_id").select(
         "source_id", "target_id", (PAGERANK_DAMPING * F.col("w") / F.col("total")).alias("share"))
     hot, _ = materialize(hot_keys(valid, ["source_id"], hot_rows))
-    return bucketed(with_salt(shares, ["source_id"], hot), "edge-shares", ["source_id", "_salt"]), state, hot
+    return bucketed(with_salt(shares, ["source_id"], hot), "edge-shares", ["source_id", "_salt"], valid.count()), state, hot
 
 
 def pagerank_round(shares: DataFrame, ranks: DataFrame, hot: DataFrame, base: float) -> DataFrame:

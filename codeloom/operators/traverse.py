@@ -15,47 +15,114 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.joins import HOT_ROWS, hot_keys, with_every_salt, with_salt
-from codeloom.session import bucketed, materialize, written
+from codeloom.session import bucket_number, bucketed, materialize, open_bucketed, write_bucketed, written
+
+
+#: Rows of a frontier that go to the links as they are, and ids that are listed to pick the buckets of stored links.
+SMALL, FEW = 200_000, 500
+STORED = "here BIGINT, there BIGINT, kind STRING"
 
 
 def links(edges: DataFrame, edge_kinds: Sequence[str] | None = None, reverse: bool = False) -> DataFrame:
     """The edge table as (here, there), filtered to ``edge_kinds`` (none or empty: all kinds)."""
-    if edge_kinds:
-        edges = edges.where(F.col("kind").isin(*edge_kinds))
+    return _ends(_of_kinds(edges, edge_kinds), reverse).select("here", "there")
+
+
+def _of_kinds(rows: DataFrame, edge_kinds: Sequence[str] | None) -> DataFrame:
+    return rows.where(F.col("kind").isin(*edge_kinds)) if edge_kinds else rows
+
+
+def _ends(edges: DataFrame, reverse: bool) -> DataFrame:
     here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    return edges.select(F.col(here).alias("here"), F.col(there).alias("there"))
+    return edges.select(F.col(here).alias("here"), F.col(there).alias("there"), "kind")
 
 
 class Links:
-    """The links of a walk, written once: bucketed by the node they leave, the rows of very frequent nodes split by size.
-    A step shuffles the frontier only; where it is small, adaptive execution broadcasts it."""
+    """The links of a walk over any edges. A frontier of at most ``small`` rows, counted before, is broadcast to the edges
+    where they lie. For the first larger one the links are written once: bucketed by the node they leave, the rows of very
+    frequent nodes split by size; from then on a step shuffles the frontier only."""
+
+    def __init__(self, edges: DataFrame, edge_kinds: Sequence[str] | None = None, reverse: bool = False, hot_rows: int = HOT_ROWS,
+                 small: int = SMALL):
+        self.source, self.hot_rows, self.small = links(edges, edge_kinds, reverse), hot_rows, small
+        self.hot = self.table = None
+
+    def _write(self):
+        self.hot, _ = materialize(hot_keys(self.source, ["here"], self.hot_rows))
+        salted = with_salt(self.source, ["here"], self.hot)
+        self.table = bucketed(salted, "links", ["here", "_salt"], self.source.count())
+
+    def step(self, frontier: DataFrame, rows: int) -> DataFrame:
+        """``frontier(here, ...)``, of so many rows, with ``there`` for every link."""
+        if rows <= self.small:
+            return self.source.join(F.broadcast(frontier), "here")
+        if self.table is None:
+            self._write()
+        return self.table.join(with_every_salt(frontier, ["here"], self.hot), ["here", "_salt"]).drop("_salt")
 
-    def __init__(self, edges: DataFrame, edge_kinds: Sequence[str] | None = None, reverse: bool = False, hot_rows: int = HOT_ROWS):
-        step = written(links(edges, edge_kinds, reverse), "links")
-        self.hot, _ = materialize(hot_keys(step, ["here"], hot_rows))
-        self.table = bucketed(with_salt(step, ["here"], self.hot), "links", ["here", "_salt"])
 
-    def step(self, frontier: DataFrame) -> DataFrame:
-        """``frontier(here, ...)`` with ``there`` for every link."""
-        return self.table.join(with_every_salt(frontier, ["here"], self.hot), ["here", "_salt"]).drop("_salt")
+def write_links(edges: DataFrame, folder: str, reverse: bool, hot_rows: int = HOT_ROWS) -> dict:
+    """``edges(source_id, target_id, kind)`` as stored links of one direction; what is returned opens them again.
+
+    Links of ordinary nodes lie in buckets by the node they leave; those of very frequent nodes lie beside them, in buckets
+    by the node and a part of its links."""
+    rows = _ends(edges, reverse)
+    spark = edges.sparkSession
+    hot, info = materialize(hot_keys(rows, ["here"], hot_rows), most=F.sum("_salts"))
+    n = bucket_number(spark, rows.count())
+    write_bucketed(rows.join(F.broadcast(hot), "here", "left_anti"), f"{folder}/plain", ["here"], n)
+    split = 0
+    if info["rows"]:
+        split = max(info["most"], 1)
+        hot.coalesce(1).write.parquet(f"{folder}/hot")
+        frequent = with_salt(rows.join(F.broadcast(hot.select("here")), "here", "left_semi"), ["here"], hot)
+        write_bucketed(frequent, f"{folder}/split", ["here", "_salt"], split)
+    return {"folder": folder, "buckets": n, "split": split}
+
+
+class StoredLinks:
+    """Links that ``write_links`` has written: a walk writes no edge, and a step from few nodes reads only their buckets."""
+
+    def __init__(self, spark, told: dict, edge_kinds: Sequence[str] | None = None):
+        self.kinds = edge_kinds
+        self.plain = open_bucketed(spark, f"{told['folder']}/plain", STORED, ["here"], told["buckets"])
+        self.split = self.hot = None
+        if told["split"]:
+            self.hot = spark.read.schema("here BIGINT, _salts INT").parquet(f"{told['folder']}/hot")
+            self.split = open_bucketed(spark, f"{told['folder']}/split", f"{STORED}, _salt INT", ["here", "_salt"], told["split"])
+
+    def step(self, frontier: DataFrame, rows: int) -> DataFrame:
+        plain = self.plain
+        sent = frontier
+        if rows <= FEW:
+            plain = plain.where(F.col("here").isin([r["here"] for r in frontier.select("here").distinct().collect()]))
+        if rows <= SMALL:
+            sent = F.broadcast(frontier)
+        found = _of_kinds(plain, self.kinds).drop("kind").join(sent, "here")
+        if self.split is not None:
+            salted = with_every_salt(frontier.join(F.broadcast(self.hot.select("here")), "here", "left_semi"), ["here"], self.hot)
+            more = _of_kinds(self.split, self.kinds).drop("kind").join(salted, ["here", "_salt"]).drop("_salt")
+            found = found.unionByName(more)
+        return found
 
 
 def closure(
-    edges: DataFrame,
+    edges: DataFrame | Links | StoredLinks,
     seeds: DataFrame,
     max_depth: int = 10,
     edge_kinds: Sequence[str] | None = None,
     reverse: bool = False,
     *,
     hot_rows: int = HOT_ROWS,
+    small: int = SMALL,
 ) -> DataFrame:
     """(seed_id, node_id, depth) for every seed in ``seeds(seed_id)``, all seeds in one pass. Each level is written to the
-    shared folder and counted on the way."""
-    table = Links(edges, edge_kinds, reverse, hot_rows)
-    frontier = seeds.select("seed_id", F.col("seed_id").alias("here")).distinct()
+    shared folder and counted on the way. ``edges`` are an edge table, or links whose kinds and direction are settled."""
+    table = Links(edges, edge_kinds, reverse, hot_rows, small) if isinstance(edges, DataFrame) else edges
+    frontier, info = materialize(seeds.select("seed_id", F.col("seed_id").alias("here")).distinct())
     levels = []
     for depth in range(1, max(max_depth, 1) + 1):
-        reached = table.step(frontier).select("seed_id", F.col("there").alias("here")).distinct()
+        reached = table.step(frontier, info["rows"]).select("seed_id", F.col("there").alias("here")).distinct()
         frontier, info = materialize(reached)
         levels.append(frontier.select("seed_id", F.col("here").alias("node_id"), F.lit(depth).alias("depth")))
         if info["rows"] == 0:
@@ -70,7 +137,7 @@ def closure_nodes(nodes: DataFrame, reached: DataFrame) -> DataFrame:
 
 def dependencies(
     nodes: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | Links | StoredLinks,
     qualified_name: str,
     edge_kinds: Sequence[str] | None = None,
     max_depth: int = 10,
@@ -81,7 +148,7 @@ def dependencies(
 
 def dependents(
     nodes: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | Links | StoredLinks,
     qualified_name: str,
     edge_kinds: Sequence[str] | None = None,
     max_depth: int = 10,
@@ -100,7 +167,7 @@ def _walk(nodes, edges, qualified_name, edge_kinds, max_depth, reverse):
 BITS = 62
 
 
-def dependent_counts(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dependent_counts(edges: DataFrame | Links | StoredLinks, seeds: DataFrame, max_depth: int = 10, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, transitive_count) for every node in ``seeds(id)``: the rows of its reverse closure, pairs (node, depth).
 
     Seeds are numbered within parts of the table and go in blocks of 62. All blocks walk together: a node carries one bit per
@@ -110,13 +177,15 @@ def dependent_counts(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, *,
     place = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
     numbered = written(parts.select("id", F.struct("part", F.floor(place / BITS).alias("n")).alias("block"),
                                     (place % BITS).cast("int").alias("bit")), "seed-blocks")
-    table = Links(edges, reverse=True, hot_rows=hot_rows)
+    table = Links(edges, reverse=True, hot_rows=hot_rows) if isinstance(edges, DataFrame) else edges
+    rows = numbered.count()
     frontier = numbered.select("block", F.col("id").alias("here"), F.expr("shiftleft(1L, bit)").alias("seen"))
     levels = []
     for _ in range(max_depth):
-        reached = table.step(frontier).groupBy("block", F.col("there").alias("here")).agg(F.bit_or("seen").alias("seen"))
+        reached = table.step(frontier, rows).groupBy("block", F.col("there").alias("here")).agg(F.bit_or("seen").alias("seen"))
         frontier, info = materialize(reached)
-        if info["rows"] == 0:
+        rows = info["rows"]
+        if rows == 0:
             break
         sums = frontier.groupBy("block").agg(F.array(*[
             F.sum(F.getbit("seen", F.lit(i)).cast("long")) for i in range(BITS)]).alias("sums"))

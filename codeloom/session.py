@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -70,20 +71,73 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def bucketed(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """``df`` as a table in the shared folder, dealt by a hash of ``columns`` into as many buckets as a shuffle has
-    partitions and sorted in each, so that joins on these columns never shuffle it again."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, name)
+#: Rows of a bucket, about; smaller tables get buckets enough to keep the cores busy.
+BUCKET_ROWS, LEAST_BUCKET_ROWS = 8_000_000, 50_000
+
+
+def bucket_number(spark: SparkSession, rows: int) -> int:
+    """Into how many buckets a table of so many rows goes."""
+    return max(math.ceil(rows / BUCKET_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(rows / LEAST_BUCKET_ROWS)), 1)
+
+
+def write_bucketed(df: DataFrame, path: str, columns: list[str], n: int) -> None:
+    """``df`` under ``path``, dealt by a hash of ``columns`` into n buckets and sorted in each."""
     table = f"codeloom_{uuid.uuid4().hex}"
     (df.repartition(n, *columns).write.format("parquet").bucketBy(n, *columns).sortBy(*columns)
      .option("path", path).saveAsTable(table))
+    df.sparkSession.sql(f"DROP TABLE {table}")  # the name only: the files stay
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: str, columns: list[str], n: int) -> DataFrame:
+    """A table that ``write_bucketed`` has written, also by another session: joins on its columns never shuffle it, and
+    filters on them read only the buckets they need."""
+    table, by = f"codeloom_{uuid.uuid4().hex}", ", ".join(columns)
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS "
+              f"LOCATION '{path}'")
     found = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")  # the name only: the files stay, and the frame knows how they lie
+    spark.sql(f"DROP TABLE {table}")  # the frame knows how the files lie
     return found
 
 
+def bucketed(df: DataFrame, name: str, columns: list[str], rows: int) -> DataFrame:
+    """``df``, of so many rows, as a bucketed table in the shared folder."""
+    spark = df.sparkSession
+    path, n = scratch_path(spark, name), bucket_number(spark, rows)
+    write_bucketed(df, path, columns, n)
+    return open_bucketed(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), columns, n)
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file, whole or not at all, unless there is one: of several writers at once, one gets True."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(conf)
+    target = fs.makeQualified(hadoop.Path(path))
+    fs.mkdirs(target.getParent())
+    # beside the folder, so that nobody who lists it sees the draft
+    draft = hadoop.Path(target.getParent().getParent(), f".draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if target.toUri().getScheme() == "file":
+            paths = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)]
+            jvm.java.nio.file.Files.createLink(*paths)
+        else:
+            options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+            options[0] = getattr(hadoop, "Options$Rename").NONE
+            hadoop.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+    return True
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the checkpoints and helper tables of this session; frames that were made from them can't be read any more."""
     folder = shared_dir(spark)
