@@ -52,9 +52,9 @@ class Links:
         salted = with_salt(self.source, ["here"], self.hot)
         self.table = bucketed(salted, "links", ["here", "_salt"], self.source.count())
 
-    def step(self, frontier: DataFrame, rows: int) -> DataFrame:
-        """``frontier(here, ...)``, of so many rows, with ``there`` for every link."""
-        if rows <= self.small:
+    def step(self, frontier: DataFrame, rows: int | None = None) -> DataFrame:
+        """``frontier(here, ...)`` with ``there`` for every link; ``rows`` is its size, if known."""
+        if rows is not None and rows <= self.small:
             return self.source.join(F.broadcast(frontier), "here")
         if self.table is None:
             self._write()

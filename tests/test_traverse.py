@@ -76,3 +76,12 @@ def test_a_step_does_not_shuffle_the_links(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     links = plan[plan.index("SortMergeJoin"):]
     assert "Bucketed: true" in links and links.count("Exchange hashpartitioning") == 1
+
+
+def test_small_and_large_frontiers_walk_alike(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(50), 0 if rng.random() < 0.4 else rng.randrange(50), "calls") for _ in range(150)]
+    edges = spark.createDataFrame(rows, "source_id BIGINT, target_id BIGINT, kind STRING")
+    seeds = spark.createDataFrame([(0,), (1,)], "seed_id BIGINT")
+    found = [sorted(map(tuple, traverse.closure(edges, seeds, 5, reverse=True, hot_rows=5, small=small).collect())) for small in (0, 20, 10 ** 6)]
+    assert found[0] == found[1] == found[2]
