@@ -1,6 +1,6 @@
 """Registered queries: full-text search over the documents."""
 
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -9,7 +9,7 @@ from codeloom.operators import search
 from codeloom.plans.graph_view import doc_nodes, table
 from codeloom.plans.registry import query
 from codeloom.plans.sql_view import with_docs
-from codeloom.session import written
+from codeloom.session import files_state, written
 
 WORDS = """, texts AS (SELECT id, 'name' AS col, name AS text FROM docs UNION ALL
   SELECT id, 'qualified_name', qualified_name FROM docs UNION ALL SELECT id, 'summary', summary FROM docs),
@@ -105,9 +105,10 @@ SELECT qualified_name, round(rank, 6) AS rank FROM (
   FROM docs d JOIN l ON l.id = d.id CROSS JOIN s {' '.join(joins)} WHERE ({match}) {where} {tail})""")
 
 
-@cache
-def _index(spark, app: str, sf_dir: str, stemmed: bool):
-    """(postings, lengths) over all text columns, written once per input; later queries read the row groups of their words."""
+@lru_cache(4)
+def _index(spark, app: str, sf_dir: str, stemmed: bool, state: tuple):
+    """(postings, lengths) over all text columns, written once per state of the input's files; later queries read the row
+    groups of their words."""
     texts = written(search.index_texts(doc_nodes(spark, sf_dir), stemmed=stemmed), "index-texts")
     terms = search.postings(texts)
     return (written(terms.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings"),
@@ -115,7 +116,8 @@ def _index(spark, app: str, sf_dir: str, stemmed: bool):
 
 
 def _search(spark, sf_dir, text, kind=None, limit=None, stemmed=False):
-    index = _index(spark, spark.sparkContext.applicationId, sf_dir, stemmed)
+    state = files_state(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet")
+    index = _index(spark, spark.sparkContext.applicationId, sf_dir, stemmed, state)
     found = search.search_index(*index, text, stemmed=stemmed)
     rows = search.ranked(doc_nodes(spark, sf_dir), found, kind, limit)
     return rows.select("qualified_name", F.round("rank", 6).alias("rank"))

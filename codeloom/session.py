@@ -138,8 +138,24 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+#: How often scratch tables were deleted; frames kept from before are of no use.
+cleared = 0
+
+
+def files_state(spark: SparkSession, *paths: str) -> tuple:
+    """What changes when the files under some paths do: their names, sizes and times, and ``cleared``."""
+    found: list = [cleared]
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        for status in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place):
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the checkpoints and helper tables of this session; frames that were made from them can't be read any more."""
+    global cleared
+    cleared += 1
     folder = shared_dir(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

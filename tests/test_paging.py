@@ -54,6 +54,16 @@ def test_rows_that_are_not_fetched_are_counted(spark):
     assert [r["id"] for r in out["rows"]] == list(range(len(out["rows"])))
 
 
+def test_budget_cuts_lists_inside_others():
+    result = {"groups": [{"path": p, "items": [{"id": i} for i in range(n)]} for p, n in (("a", 200), ("b", 3))], "tree": {"kept": [1, 2], "deep": {"x": ["y" * 9] * 90}}}
+    out = paging.fit(result, 120)
+    assert paging.estimate_tokens(out) <= 120 and json.loads(paging.as_text(out)) == out
+    kept = [len(g["items"]) for g in out["groups"]] + [len(out["tree"]["deep"]["x"])]
+    assert out["truncated_items"] == 200 + 3 + 90 - sum(kept) and kept[0] == kept[2] > 3 == kept[1] and out["tree"]["kept"] == [1, 2]
+    more = paging.fit(result, 10_000)
+    assert more["truncated_items"] == 0 and more["groups"] == result["groups"]
+
+
 def test_budget_prefix_is_exact(spark):
     df = spark.createDataFrame([(i, 10) for i in range(20)], "id INT, n INT").repartition(5)
     assert [r["id"] for r in paging.budget_prefix(df, ["id"], F.col("n"), 45).orderBy("id").collect()] == [0, 1, 2, 3]
