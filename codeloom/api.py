@@ -283,8 +283,7 @@ class CodeGraph:
         if after == 0:
             return {"error": "there is no version to compare yet: index the project first"}
         before = after - 1 if before is None else before
-        nodes = diff.node_diff(diff.snapshot_nodes(self.store.nodes(before)), diff.snapshot_nodes(self.store.nodes(after)))
-        edges = diff.edge_diff(*[diff.snapshot_edges(self.store.nodes(v), self.store.edges(v)) for v in (before, after)])
+        nodes, edges = self.store.node_diff(before, after), self.store.edge_diff(before, after)
         nodes, edges = diff.filter_diff(nodes, edges, file_paths)
         parts = {f"nodes_{c}": nodes.where(F.col("change") == c).drop("change").orderBy("qualified_name")
                  for c in ("added", "removed", "modified")}

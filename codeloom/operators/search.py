@@ -1,8 +1,8 @@
 """Full-text search over node text with BM25 ranks.
 
 ``search`` reads each text once, keeps the places of the few words it asks for and shuffles nothing.
-``GraphStore`` writes an index ``postings(term, id, col, pos)`` sorted by term; ``search_index`` then
-reads only the row groups of its terms.
+``GraphStore`` keeps an index ``postings(term, id, col, pos)`` sorted by term (``sources.wordindex``); ``search_index``
+then reads only the row groups of its terms.
 
 A query is built from ``term``, ``phrase``, ``prefix`` and ``near`` with ``&``, ``|`` and ``-`` (and not);
 ``parse`` reads the usual text form of it.
@@ -335,8 +335,11 @@ def _bm25(matched: DataFrame, query, number, having: dict, n: int, words: int) -
     return matched.select("id", (-score).alias("rank"))
 
 
-def search_index(occurrences: DataFrame, doc_lengths: DataFrame, query, stemmed: bool = True) -> DataFrame:
-    """(id, rank) of all nodes that match, from a written index; the better, the lower the rank.
+def search_index(
+    occurrences: DataFrame, doc_lengths: DataFrame, query, stemmed: bool = True, totals: tuple[int, int] | None = None,
+) -> DataFrame:
+    """(id, rank) of all nodes that match, from a written index; the better, the lower the rank. ``totals``: the numbers of
+    nodes and words, counted unless given.
 
     The words asked for are filtered before anything is shuffled, and one node's hits are no more
     than the occurrences of those words in its own text.
@@ -346,8 +349,8 @@ def search_index(occurrences: DataFrame, doc_lengths: DataFrame, query, stemmed:
         return doc_lengths.select("id", F.lit(0.0).alias("rank")).where(F.lit(False))
     hits = occurrences.where(cond).groupBy("id").agg(F.collect_list(F.struct("term", "col", "pos")).alias("hits"))
     matched, having = _match(hits.join(doc_lengths, "id"), query, indexed, number)
-    total = doc_lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).first()
-    return _bm25(matched, query, number, having, total["n"], total["words"])
+    n, words = totals or doc_lengths.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    return _bm25(matched, query, number, having, n, words)
 
 
 def search_texts(texts: DataFrame, query, stemmed: bool = True) -> DataFrame:

@@ -3,9 +3,12 @@
 from pyspark.sql import functions as F
 
 from codeloom.operators import annotate, diff, memory, merge, paging
+from codeloom.operators.merge import stable_id
 from codeloom.plans.graph_view import doc_nodes, graph_edges, graph_nodes, table
 from codeloom.plans.registry import query
 from codeloom.plans.sql_view import with_docs, with_graph, with_nodes
+from codeloom.session import scratch_path
+from codeloom.sources.store import GraphStore
 
 # Two snapshots: all documents, and later the documents that are not toxic with their white space tidied,
 # together with the benchmark texts. A document belongs to its file.
@@ -66,6 +69,35 @@ def diff_edges(spark, sf_dir):
     return _diffs(spark, sf_dir)[1]
 
 
+def _two_versions(spark, sf_dir):
+    """The snapshots as versions of a store, with the edges of files to their documents; a file is a node as well."""
+    store = GraphStore(spark, scratch_path(spark, "store"))
+    for snapshot in _node_snapshots(spark, sf_dir):
+        files = snapshot.where("file_path IS NOT NULL").select("file_path").distinct().select(
+            F.concat(F.lit("file::"), "file_path").alias("qualified_name"), F.lit("file").alias("kind"),
+            F.lit(None).cast("string").alias("name"), "file_path", F.lit(None).cast("string").alias("content_hash"))
+        nodes = snapshot.unionByName(files).withColumn("id", stable_id("qualified_name"))
+        store.commit(nodes, _contains(snapshot).where("source IS NOT NULL").select(
+            stable_id("source").alias("source_id"), stable_id("target").alias("target_id"), "kind"))
+    return store
+
+
+VERSIONS = SNAPSHOTS.replace("old_n AS (", "old_d AS (").replace("\nnew_n AS (", "\nnew_d AS (").replace("\nold_e AS (", """
+old_n AS (SELECT * FROM old_d UNION ALL SELECT DISTINCT 'file::' || file_path, 'file', NULL, file_path, NULL FROM old_d WHERE file_path IS NOT NULL),
+new_n AS (SELECT * FROM new_d UNION ALL SELECT DISTINCT 'file::' || file_path, 'file', NULL, file_path, NULL FROM new_d WHERE file_path IS NOT NULL),
+old_e AS (""").replace("FROM old_n)", "FROM old_d WHERE file_path IS NOT NULL)").replace("FROM new_n)", "FROM new_d WHERE file_path IS NOT NULL)")
+
+
+@query("stored_diff_nodes", with_docs(VERSIONS + "SELECT * FROM node_diff WHERE change IS NOT NULL"))
+def stored_diff_nodes(spark, sf_dir):
+    return _two_versions(spark, sf_dir).node_diff(1, 2)
+
+
+@query("stored_diff_edges", with_docs(VERSIONS + "SELECT * FROM edge_diff"))
+def stored_diff_edges(spark, sf_dir):
+    return _two_versions(spark, sf_dir).edge_diff(1, 2)
+
+
 SUMMARY = """
 SELECT (SELECT count(DISTINCT file_path) FROM {n} WHERE change IS NOT NULL) AS files_affected,
        (SELECT count(*) FROM {n} WHERE change = 'added') AS nodes_added,

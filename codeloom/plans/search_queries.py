@@ -8,8 +8,9 @@ from codeloom.functions import porter
 from codeloom.operators import search
 from codeloom.plans.graph_view import doc_nodes, table
 from codeloom.plans.registry import query
-from codeloom.plans.sql_view import with_docs
-from codeloom.session import files_state, written
+from codeloom.plans.sql_view import DOCS, with_docs
+from codeloom.session import files_state, scratch_path, written
+from codeloom.sources.store import GraphStore
 
 WORDS = """, texts AS (SELECT id, 'name' AS col, name AS text FROM docs UNION ALL
   SELECT id, 'qualified_name', qualified_name FROM docs UNION ALL SELECT id, 'summary', summary FROM docs),
@@ -185,6 +186,47 @@ def porter_search(spark, sf_dir):
     return _search(spark, sf_dir, "thing OR thed OR relation", stemmed=True)
 
 
+# Some documents go, some get another summary, some new ones come.
+LATER = DOCS.replace("\ndocs AS (", "\nall_docs AS (") + """, docs AS (
+  SELECT id, kind, name, qualified_name, CASE WHEN id % 20 = 7 THEN 'A thing said first. ' || summary ELSE summary END AS summary
+  FROM all_docs WHERE id % 20 <> 3
+  UNION ALL SELECT id + 1000000000000, kind, name, 'new' || qualified_name, 'A relation of things: ' || name FROM all_docs WHERE id % 20 = 11)"""
+
+
+def _later(docs):
+    number = F.col("id") % 20
+    summary = F.when(number == 7, F.concat(F.lit("A thing said first. "), "summary")).otherwise(F.col("summary"))
+    new = docs.where(number == 11).withColumns({
+        "id": F.col("id") + 10**12, "qualified_name": F.concat(F.lit("new"), "qualified_name"),
+        "summary": F.concat(F.lit("A relation of things: "), "name")})
+    return docs.where(number != 3).withColumn("summary", summary).unionByName(new)
+
+
+STORED = [porter.stem("thing"), porter.stem("thed"), porter.stem("relation")]
+
+
+def _stored(spark, sf_dir, version):
+    """The documents in a store, indexed and changed: the second version's index goes on from the first one's."""
+    store = GraphStore(spark, scratch_path(spark, "store"))
+    docs = doc_nodes(spark, sf_dir)
+    store.commit(docs)
+    if version == 2:
+        store.words().state(store.entry())
+        store.commit(_later(docs))
+    rows = store.search("thing OR thed OR relation", limit=None)
+    return rows.select("qualified_name", F.round("rank", 6).alias("rank"))
+
+
+@query("stored_search", _sql(STORED, "[0] OR [1] OR [2]", words=_stemmed()))
+def stored_search(spark, sf_dir):
+    return _stored(spark, sf_dir, 1)
+
+
+@query("stored_search_changed", _sql(STORED, "[0] OR [1] OR [2]", words=_stemmed()).replace(DOCS, LATER))
+def stored_search_changed(spark, sf_dir):
+    return _stored(spark, sf_dir, 2)
+
+
 @query("stems", with_docs(WORDS + _stemmed() + " SELECT DISTINCT p.t AS word, e9.w AS stem FROM plain p JOIN e9 USING (t)"))
 def stems(spark, sf_dir):
     """Every distinct word with its stem."""
