@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +157,65 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = PAGERANK_ROUNDS,
         "id", (F.col("rank") / F.lit(top)).alias("centrality"), "in_degree"), "pagerank")
 
 
+#: Pushed nodes up to this number are sent to the edges where they lie.
+SMALL_PUSH = 200_000
+
+
+def pagerank_from(nodes: DataFrame, edges: DataFrame, known: DataFrame, stop: float = PAGERANK_STOP_DELTA, max_rounds: int = 500, *,
+                  hot_rows: int = HOT_ROWS, small: int = SMALL_PUSH) -> DataFrame:
+    """What ``pagerank`` tells, going on from ``known(id, centrality)`` of an earlier graph.
+
+    Spreading the sinks' rank evenly only scales the solution of y = 1 + damping * (what y's edges carry), which a change touches
+    around itself only. One pass over the edges gives each node's residual, how far it is off; then nodes with a residual hand it on, round by
+    round, and no other node is met. Residuals below an even share of half the bound stay where they are. At the end all residuals together are at
+    most ``stop`` of the sum of the ranks, the bound that ``pagerank`` ends by where its rounds suffice; a warning tells if ``max_rounds`` ended it.
+    """
+    shares, state, hot = edge_shares(nodes, edges, hot_rows)
+    known = known.select("id", "centrality").where("centrality IS NOT NULL")
+    ranks, info = materialize(state.select("id", "in_degree").join(known, "id", "left").fillna(0.0, ["centrality"]))
+    n = info["rows"]
+    if n == 0:
+        return ranks.select("id", F.lit(0.0).alias("centrality"), "in_degree")
+    sent = with_every_salt(ranks.select(F.col("id").alias("source_id"), "centrality"), ["source_id"], hot)
+    carried = shares.join(sent, ["source_id", "_salt"]).select(
+        F.col("target_id").alias("id"), (F.col("share") * F.col("centrality")).alias("gap"))
+    own = ranks.select("id", (-F.col("centrality")).alias("gap"))
+    gaps = written(carried.unionByName(own).groupBy("id").agg(F.sum("gap").alias("gap")), "rank-gaps")
+    # Where nothing has changed, the gap is that of one unit of y: the usual gap tells the scale of ``known``.
+    usual = gaps.where("gap < 0").agg(F.percentile_approx("gap", 0.5, 10_000)).first()[0]
+    scale = -1.0 / usual if usual else 1.0
+    total = max(scale * (ranks.agg(F.sum("centrality")).first()[0] or 0.0), n)
+    quiet = stop * total / (2 * n)
+    off = gaps.select("id", (1.0 + F.col("gap") * scale).alias("rest"))
+    active, info = materialize(off.where(F.abs("rest") > quiet))
+    pushed, waiting, rounds = [], None, 0
+    while info["rows"] and rounds < max_rounds:
+        rounds += 1
+        pushed.append(active)
+        if len(pushed) == 10:
+            pushed = [written(_sums(pushed), "rank-pushes")]
+        moving = with_every_salt(active.withColumnRenamed("id", "source_id"), ["source_id"], hot)
+        if info["rows"] <= small:
+            moving = F.broadcast(moving)
+        got = shares.join(moving, ["source_id", "_salt"]).select(
+            F.col("target_id").alias("id"), (F.col("rest") * F.col("share")).alias("rest"))
+        left, _ = materialize(_sums([got] if waiting is None else [got, waiting]))
+        active, info = materialize(left.where(F.abs("rest") > quiet))
+        waiting = left.where(F.abs("rest") <= quiet)
+    if info["rows"]:
+        warnings.warn(f"PageRank stopped after {rounds} rounds with {info['rows']} nodes left to push", stacklevel=2)
+    done = ranks.select("id", "in_degree", (F.col("centrality") * scale).alias("rank"))
+    if pushed:
+        done = done.join(_sums(pushed), "id", "left").select("id", "in_degree", (F.col("rank") + F.coalesce("rest", F.lit(0.0))).alias("rank"))
+    done = written(done, "ranks")
+    top = done.agg(F.max("rank")).first()[0]
+    return done.select("id", (F.col("rank") / F.lit(top)).alias("centrality"), "in_degree")
+
+
+def _sums(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("id").agg(F.sum("rest").alias("rest"))
+
+
 def context_summary(
     nodes: DataFrame,
     ranks: DataFrame,

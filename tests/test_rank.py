@@ -67,6 +67,24 @@ def test_random_graph_against_loop(spark, options):
     assert all(got[u]["in_degree"] == sum(t == u for _, t, _ in edges) for u in ids)
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 10, "small": 0}])
+def test_ranks_after_a_change_against_loop(spark, options):
+    rng = random.Random(5)
+    kinds = [*EDGE_WEIGHTS, "other"]
+    before = {(0 if rng.random() < 0.3 else rng.randrange(40), rng.randrange(43), rng.choice(kinds)) for _ in range(90)}
+    after = {e for e in before if e[0] != 7 and e[1] != 3} | {(7, 8, "calls"), (41, 5, "imports"), (5, 41, "calls")}
+    ids = (set(range(40)) | {41}) - {12}
+    old = loop_pagerank(set(range(40)), before, 1000)
+    want = loop_pagerank(ids, after, 1000)
+    nodes = spark.createDataFrame([(i,) for i in ids], "id BIGINT")
+    frame = spark.createDataFrame(list(after), "source_id BIGINT, target_id BIGINT, kind STRING")
+    # a node that is gone and one without a rank are no burden; neither is a start from nothing
+    for known in ([*old.items(), (99, None)], []):
+        got = {r["id"]: r for r in rank.pagerank_from(nodes, frame, spark.createDataFrame(known, "id BIGINT, centrality DOUBLE"), **options).collect()}
+        assert got.keys() == want.keys() and max(abs(got[u]["centrality"] - want[u]) for u in ids) < 1e-6
+        assert all(got[u]["in_degree"] == sum(t == u for _, t, _ in after) for u in ids)
+
+
 def test_degree_and_transitive_ranks(graph):
     nodes, edges = graph("ABCD", [("A", "B", "calls"), ("B", "C", "calls"), ("D", "C", "calls"), ("A", "C", "imports")])
     rows = rank.rank_by_in_degree(nodes, edges, limit=2).collect()

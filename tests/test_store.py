@@ -6,9 +6,11 @@ import re
 import pytest
 
 from codeloom.api import CodeGraph, respond
-from codeloom.operators import paging
+from codeloom.operators import paging, rank
+from codeloom.sources.store import GraphStore
 from codeloom.sources.tree import ignore_expression, list_sources, source_tree
 from tests.test_code import EDGES, PROJECT
+from tests.test_rank import loop_pagerank
 
 
 def write(root, files):
@@ -217,6 +219,20 @@ def test_annotations_write_only_the_parts_they_touch(spark, tmp_path):
     assert graph.store.nodes().count() == graph.store.nodes(1).count()
 
 
+def test_ranks_go_on_from_the_version_before(spark, tmp_path, monkeypatch, graph):
+    store = GraphStore(spark, str(tmp_path))
+    names, edges = "ABCDE", [("A", "B", "calls"), ("B", "C", "calls"), ("C", "A", "imports"), ("D", "C", "calls")]
+    store.commit(*graph(names, edges))
+    store.centrality()
+    edges = edges[1:] + [("E", "A", "calls"), ("A", "D", "inherits")]
+    store.commit(None, graph(names, edges)[1])
+    monkeypatch.setattr(rank, "pagerank", None)  # not called again
+    got = {r["id"]: r["centrality"] for r in store.centrality().collect()}
+    places = {n: i for i, n in enumerate(names, 1)}
+    want = loop_pagerank(set(places.values()), [(places[a], places[b], k) for a, b, k in edges], 1000)
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
 def test_unknown_kinds_are_refused(spark, tmp_path):
     store = CodeGraph(spark, str(tmp_path)).store
     nodes = spark.createDataFrame([(1, "planet", "x", "x")], "id BIGINT, kind STRING, name STRING, qualified_name STRING")
