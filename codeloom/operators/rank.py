@@ -188,22 +188,22 @@ def pagerank_from(nodes: DataFrame, edges: DataFrame, known: DataFrame, stop: fl
     quiet = stop * total / (2 * n)
     off = gaps.select("id", (1.0 + F.col("gap") * scale).alias("rest"))
     active, info = materialize(off.where(F.abs("rest") > quiet))
-    pushed, waiting, rounds = [], None, 0
-    while info["rows"] and rounds < max_rounds:
+    pushed, waiting, rounds, moves = [], None, 0, info["rows"]
+    while moves and rounds < max_rounds:
         rounds += 1
         pushed.append(active)
         if len(pushed) == 10:
             pushed = [written(_sums(pushed), "rank-pushes")]
         moving = with_every_salt(active.withColumnRenamed("id", "source_id"), ["source_id"], hot)
-        if info["rows"] <= small:
+        if moves <= small:
             moving = F.broadcast(moving)
         got = shares.join(moving, ["source_id", "_salt"]).select(
             F.col("target_id").alias("id"), (F.col("rest") * F.col("share")).alias("rest"))
-        left, _ = materialize(_sums([got] if waiting is None else [got, waiting]))
-        active, info = materialize(left.where(F.abs("rest") > quiet))
-        waiting = left.where(F.abs("rest") <= quiet)
-    if info["rows"]:
-        warnings.warn(f"PageRank stopped after {rounds} rounds with {info['rows']} nodes left to push", stacklevel=2)
+        left, seen = materialize(_sums([got] if waiting is None else [got, waiting]), active=F.count_if(F.abs("rest") > quiet))
+        active, waiting = left.where(F.abs("rest") > quiet), left.where(F.abs("rest") <= quiet)
+        moves = seen["active"]
+    if moves:
+        warnings.warn(f"PageRank stopped after {rounds} rounds with {moves} nodes left to push", stacklevel=2)
     done = ranks.select("id", "in_degree", (F.col("centrality") * scale).alias("rank"))
     if pushed:
         done = done.join(_sums(pushed), "id", "left").select("id", "in_degree", (F.col("rank") + F.coalesce("rest", F.lit(0.0))).alias("rank"))
