@@ -138,3 +138,13 @@ def test_put_if_absent(spark, tmp_path):
     assert session.put_if_absent(spark, path, "first") and not session.put_if_absent(spark, path, "second")
     assert open(path).read() == "first" and [p.name for p in (tmp_path / "m").iterdir()] == ["one.json"]
     assert sum(at_once(*[lambda: session.put_if_absent(spark, str(tmp_path / "m" / "two"), "x")] * 6)) == 1
+
+
+def test_buckets_of_frequent_nodes_follow_their_rows(spark, tmp_path):
+    # 1,500 nodes of two parts each are few rows, so they need no bucket for each part
+    rows = spark.range(4500).selectExpr("id % 1500 AS source_id", "id AS target_id", "'calls' AS kind")
+    told = traverse.write_links(rows, f"{tmp_path}/out", False, 2)
+    assert 0 < told["split"] <= 4
+    seeds = spark.createDataFrame([(7,)], "seed_id BIGINT")
+    found = traverse.closure(traverse.StoredLinks(spark, told), seeds, 1).collect()
+    assert sorted(r["node_id"] for r in found) == [7, 1507, 3007]
