@@ -85,3 +85,11 @@ def test_small_and_large_frontiers_walk_alike(spark):
     seeds = spark.createDataFrame([(0,), (1,)], "seed_id BIGINT")
     found = [sorted(map(tuple, traverse.closure(edges, seeds, 5, reverse=True, hot_rows=5, small=small).collect())) for small in (0, 20, 10 ** 6)]
     assert found[0] == found[1] == found[2]
+
+
+def test_counting_bits_takes_one_column_a_level(spark):
+    rows = spark.createDataFrame([(i, i + 1, "calls") for i in range(130)], "source_id BIGINT, target_id BIGINT, kind STRING")
+    counts = traverse.dependent_counts(rows, spark.range(131).select("id"), 3)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("getbit") <= 6
+    assert {r["id"]: r["transitive_count"] for r in counts.collect()} == {i: min(i, 3) for i in range(131)}
