@@ -146,3 +146,33 @@ def test_the_query_over_all_nodes_counts_every_kind(spark):
     got = QUERIES["rank_transitive_all"](spark, sf).collect()
     assert len(got) == len(want)
     assert {r["qualified_name"]: (r["in_degree"], r["transitive_count"]) for r in got} == want
+
+
+def test_a_round_meets_only_what_the_round_before_has_reached(graph, monkeypatch):
+    names = [f"n{i}" for i in range(40)]
+    nodes, edges = graph(names, [("n0", "n1", "calls"), ("n1", "n2", "calls"), ("n3", "n2", "imports"), ("n2", "n4", "calls")])
+    made, plain = [], rank.pagerank_round
+
+    def counted(*args):
+        rows = plain(*args)
+        made.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(rank, "pagerank_round", counted)
+    c, _ = scores(nodes, edges)
+    want = loop_pagerank(set(range(1, 41)), [(1, 2, "calls"), (2, 3, "calls"), (4, 3, "imports"), (3, 5, "calls")])
+    assert max(abs(c[n] - want[i]) for i, n in enumerate(names, 1)) < 1e-7
+    assert made == [3, 2, 1, 0]
+
+
+def test_a_node_that_comes_twice_is_one_after_the_first_round(spark):
+    nodes = spark.createDataFrame([(1,), (1,), (2,), (3,)], "id BIGINT")
+    edges = spark.createDataFrame([(1, 2, "calls"), (2, 3, "calls"), (3, 2, "imports")], "source_id BIGINT, target_id BIGINT, kind STRING")
+    got = {}
+    for r in rank.pagerank(nodes, edges, 3).collect():
+        got.setdefault(r["id"], []).append(r["centrality"])
+    r = {1: 0.5, 2: 0.25, 3: 0.25}
+    for _ in range(3):
+        r = {1: 0.0375, 2: 0.0375 + 0.85 * (r[1] + r[3]), 3: 0.0375 + 0.85 * r[2]}
+    assert got.keys() == r.keys() and len(got[1]) == 2
+    assert all(abs(v - r[k] / max(r.values())) < 1e-9 for k, values in got.items() for v in values)
