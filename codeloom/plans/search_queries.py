@@ -9,7 +9,7 @@ from codeloom.operators import search
 from codeloom.plans.graph_view import doc_nodes, table
 from codeloom.plans.registry import query
 from codeloom.plans.sql_view import DOCS, with_docs
-from codeloom.session import files_state, scratch_path, written
+from codeloom.session import files_state, scratch_path
 from codeloom.sources.store import GraphStore
 
 WORDS = """, texts AS (SELECT id, 'name' AS col, name AS text FROM docs UNION ALL
@@ -108,12 +108,11 @@ SELECT qualified_name, round(rank, 6) AS rank FROM (
 
 @lru_cache(4)
 def _index(spark, app: str, sf_dir: str, stemmed: bool, state: tuple):
-    """(postings, lengths) over all text columns, written once per state of the input's files; later queries read the row
-    groups of their words."""
-    texts = written(search.index_texts(doc_nodes(spark, sf_dir), stemmed=stemmed), "index-texts")
-    terms = search.postings(texts)
-    return (written(terms.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings"),
-            written(search.lengths(texts), "lengths"))
+    """(postings, lengths) over all text columns, written once per state of the input's files; later queries read the
+    pages of their words."""
+    path = scratch_path(spark, "word-index")
+    search.write_index(doc_nodes(spark, sf_dir), path, stemmed=stemmed)
+    return search.open_index(spark, path, "postings"), search.open_index(spark, path, "lengths")
 
 
 def _search(spark, sf_dir, text, kind=None, limit=None, stemmed=False):

@@ -136,3 +136,27 @@ def test_equal_parts_are_not_opened(versions):
     assert len(files_read(found)) <= 2 and found.count() == 2
     assert files_read(versions.node_diff(2, 2)) == set()
     assert versions.edge_diff(1, 2).count() == 0
+
+
+def test_an_index_is_written_without_a_shuffle_of_its_words(spark, tmp_path, monkeypatch):
+    nodes = spark.createDataFrame([(i, f"n{i % 3}", f"m::n{i}", "the the end" if i % 2 else "") for i in range(50)] + [(7, "x", "m::x", "more")],
+                                  "id BIGINT, name STRING, qualified_name STRING, summary STRING")
+    monkeypatch.setattr(search, "SORTED_NODES", 5)
+    search.write_index(nodes, f"{tmp_path}/index")
+    texts = search.index_texts(nodes)
+    for name, want in (("postings", search.postings(texts)), ("lengths", search.lengths(texts))):
+        found = search.open_index(spark, f"{tmp_path}/index", name)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(*found.columns).collect()))
+    # more nodes, more tasks: each writes the words of its own nodes, in order
+    files = sorted((tmp_path / "index" / "postings").glob("*.parquet"))
+    assert len(files) >= 8
+    terms = [r["term"] for r in spark.read.parquet(str(files[0])).collect()]
+    assert terms == sorted(terms)
+
+
+def test_stems_of_a_batch(spark):
+    from codeloom.functions import porter
+
+    rows = [(["things", "relational", "things"],), ([],), (None,), (["a", None, "running"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "w ARRAY<STRING>").coalesce(1).select(porter.stem_tokens("w")).collect()]
+    assert got == [[porter.stem("things"), porter.stem("relational"), porter.stem("things")], [], None, ["a", None, porter.stem("running")]]
