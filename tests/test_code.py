@@ -133,3 +133,29 @@ def test_no_bound_on_imports_and_type_lists(spark):
     assert len(imports) == 1 and len(imports[0]["names"]) == 1100
     assert [r["name"] for r in recs if r["record"] == "definition" and r["file_path"] == "a.ts"] == ["go"]
     assert "run" in {r["name"] for r in recs if r["record"] == "call"}
+
+
+def test_the_walk_over_a_python_text_leaves_plain_names_out():
+    import ast
+
+    from codeloom.functions import parse_python
+
+    text = "import a\nx = y + z * 2 < 3 and not w\n@deco(1)\ndef f(p: g()) -> h():\n    return [k(q) for q in b.c(d)()]\n"
+    definitions, imports, calls = parse_python.parse(text)
+    assert [d[0] for d in definitions] == ["f"] and [i[0] for i in imports] == ["a"]
+    assert sorted(c[0] for c in calls) == ["c", "deco", "g", "h", "k"]
+    every = {type(n) for n in ast.walk(ast.parse(text))}
+    assert {ast.Name, ast.Load, ast.Add, ast.Lt, ast.And, ast.Not, ast.Constant} <= every & parse_python._LEAVES
+    assert not parse_python._LEAVES & {ast.Call, ast.FunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom, ast.Attribute, ast.arg}
+
+
+def test_records_are_whole_batches_of_the_schema():
+    import pyarrow as pa
+
+    from codeloom.functions import parse_records
+
+    files = [{"file_path": f"f{i}.py", "content": "def g():\n    pass\n" if i % 2 else "def (:", "language": "python", "content_hash": "h"} for i in range(9000)]
+    made = list(parse_records.parse_batches(iter([pa.RecordBatch.from_pylist(files), pa.RecordBatch.from_pylist(files[:0], pa.RecordBatch.from_pylist(files).schema)])))
+    assert all(b.schema == parse_records.SCHEMA for b in made) and [b.num_rows for b in made][-1] == 0
+    rows = [r for b in made for r in b.to_pylist()]
+    assert sum(r["record"] == "file" for r in rows) == 9000 and sum(r["record"] == "definition" and r["name"] == "g" for r in rows) == 4500
