@@ -258,3 +258,19 @@ def test_git_tells_what_changed(spark, tmp_path):
     out = graph.index_codebase()
     assert (out["files_parsed"], out["files_deleted"]) == (2, 2)
     assert nodes_by_name(graph.store) == {("file::a.py", "a.py", "file"), ("a::f", "a.py", "function"), ("file::c.py", "c.py", "file")}
+
+
+def test_a_commit_gets_resolved_tables(spark, tmp_path, monkeypatch):
+    # it counts, checks, samples and writes them, and each of these would resolve all files again
+    given, plain = [], GraphStore.commit
+
+    def commit(self, nodes, edges=None, *args, **kwargs):
+        given.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in (nodes, edges))
+        return plain(self, nodes, edges, *args, **kwargs)
+
+    monkeypatch.setattr(GraphStore, "commit", commit)
+    files = spark.createDataFrame([("src/a.py", "def f():\n    return g()\n\n\ndef g():\n    pass\n")], "file_path STRING, content STRING")
+    store = GraphStore(spark, f"{tmp_path}/store")
+    store.index_all(files)
+    assert len(given) == 2 and not any("Join" in plan or "Aggregate" in plan for plan in given)
+    assert store.edges().where("kind = 'calls'").count() == 1
