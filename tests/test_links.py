@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import session
-from codeloom.operators import traverse
+from codeloom.operators import joins, traverse
 from codeloom.sources.store import CommitConflict, GraphStore, MemoryLog
 
 
@@ -44,6 +44,26 @@ def test_walks_over_stored_links(spark, tmp_path, monkeypatch, hot_rows, few, sm
             assert {tuple(r) for r in got.select("seed_id", "node_id", "depth").collect()} == plain_walk(rows, [0, 3, 5], 4, kinds, reverse)
 
 
+@pytest.mark.parametrize("few, small", [(500, 10 ** 6), (0, 0)])
+def test_a_long_list_of_frequent_nodes_is_not_broadcast(spark, tmp_path, monkeypatch, few, small):
+    for module in (joins, traverse):
+        monkeypatch.setattr(module, "MOST_BROADCAST", 2)
+    monkeypatch.setattr(traverse, "FEW", few)
+    monkeypatch.setattr(traverse, "SMALL", small)
+    monkeypatch.setattr(session, "LEAST_BUCKET_ROWS", 20)
+    hints, broadcast = [], joins.F.broadcast
+    monkeypatch.setattr(joins.F, "broadcast", lambda df: hints.append(df.columns) or broadcast(df))
+    rows = random_rows(150) + [(None, 1, "calls")] * 5 + [(1, None, "calls")]
+    seeds = spark.createDataFrame([(0,), (3,), (5,)], "seed_id BIGINT")
+    told = traverse.write_links(edges_of(spark, rows), f"{tmp_path}/out", False, 4)
+    assert told["hot"] > 2 and told["split"] > 0
+    got = traverse.closure(traverse.StoredLinks(spark, told), seeds, 4)
+    assert {tuple(r) for r in got.select("seed_id", "node_id", "depth").collect()} == plain_walk(rows, [0, 3, 5], 4)
+    own = traverse.closure(edges_of(spark, rows), seeds, 4, hot_rows=4, small=0)
+    assert {tuple(r) for r in own.select("seed_id", "node_id", "depth").collect()} == plain_walk(rows, [0, 3, 5], 4)
+    assert all("seed_id" in columns for columns in hints)  # frontiers, which are counted
+
+
 def test_a_step_reads_only_its_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "LEAST_BUCKET_ROWS", 20)
     told = traverse.write_links(edges_of(spark, random_rows(400)), f"{tmp_path}/out", False)
